@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelworks.llm import near_duplicates
+from gavelworks.llm import names, near_duplicates
 from gavelworks.tables import table
 
 #: Share of words that two records have in common at least.
 SAME_INITIATIVE = 0.7
 
 
+def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
+    movers = table(spark, folder, "votes").select(F.col("school_slug").alias("scope"), F.col("moved_by").alias("name"))
+    people = table(spark, folder, "personnel_actions").select(F.col("school_slug").alias("scope"), F.col("person_name").alias("name"))
+    return movers.unionByName(people)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(_typed_names(spark, folder)).withColumnRenamed("scope", "school_slug")
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_names(_typed_names(spark, folder)).withColumnRenamed("scope", "school_slug")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     words = near_duplicates.word_set(F.col("initiative_name"), F.col("description"))
     pairs = near_duplicates.near_pairs(table(spark, folder, "initiatives"), "initiative_id", words, SAME_INITIATIVE)
@@ -23,7 +37,7 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_classes(table(spark, folder, "initiatives"), "initiative_id", words, SAME_INITIATIVE)
 
 
-QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p5_found": p5_found, "p5_classes": p5_classes}
 SQL = {
     "p5_found": """
 with w as (
