@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelworks.llm import names, near_duplicates
+from gavelworks.llm import canonical, names, near_duplicates
 from gavelworks.tables import table
 
 #: Share of words that two records have in common at least.
@@ -26,6 +26,34 @@ def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
     return names.link_names(_typed_names(spark, folder)).withColumnRenamed("scope", "school_slug")
 
 
+#: Tables with a typed category, and their ids.
+CATEGORISED = {"initiatives": "initiative_id", "financial_items": "item_id"}
+
+
+def _typed_categories(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(list, row_id, value) of rows whose category isn't already a code, and the reference list."""
+    reference = table(spark, folder, "category_list").select(F.col("list_name").alias("list"), "code", "label", F.col("scope_note").alias("note"))
+    parts = [
+        table(spark, folder, t).select(F.lit(t).alias("list"), F.col(k).alias("row_id"), F.col("category").alias("value")) for t, k in CATEGORISED.items()
+    ]
+    rows = parts[0].unionByName(parts[1]).where("value is not null").distinct()
+    codes = reference.select("list", F.col("code").alias("value")).distinct()
+    return rows.join(codes, ["list", "value"], "left_anti"), reference
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows, reference = _typed_categories(spark, folder)
+    mapped = canonical.map_values(rows, reference)
+    return rows.join(mapped, ["list", "value"]).select(F.col("list").alias("src_table"), "row_id", "code").distinct()
+
+
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value with its rows, the code it was mapped to and the score; the unmatched ones are the report."""
+    rows, reference = _typed_categories(spark, folder)
+    counted = rows.groupBy("list", "value").agg(F.count("*").alias("n_rows"))
+    return canonical.map_values(rows, reference).join(counted, ["list", "value"]).select(F.col("list").alias("src_table"), "value", "code", "score", "n_rows")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     words = near_duplicates.word_set(F.col("initiative_name"), F.col("description"))
     pairs = near_duplicates.near_pairs(table(spark, folder, "initiatives"), "initiative_id", words, SAME_INITIATIVE)
@@ -37,7 +65,7 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_classes(table(spark, folder, "initiatives"), "initiative_id", words, SAME_INITIATIVE)
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p5_found": p5_found, "p5_classes": p5_classes}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_classes": p5_classes}
 SQL = {
     "p5_found": """
 with w as (
