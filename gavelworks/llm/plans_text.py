@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gavelworks.llm import turns
+from gavelworks.llm import mixing, packing, tokens, turns
+from gavelworks.storage import cut
 from gavelworks.tables import table
 
 
@@ -12,5 +14,41 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return turns.turns(table(spark, folder, "cleaned_segments")).distinct()
 
 
-QUERIES = {"p1_found": p1_found}
+def _specs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "container_specs").select("spec_id", "tokenizer", F.col("capacity_tokens").alias("capacity")).distinct()
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, tokenizer, n_tokens) of every document in the tokens of each named tokenizer."""
+    documents = table(spark, folder, "documents")
+    names = sorted(r[0] for r in _specs(spark, folder).select("tokenizer").distinct().collect())
+    parts = [tokens.token_counts(documents, "doc_id", "text", n, keep=("source",)).withColumn("tokenizer", F.lit(n)) for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(cut(_sized(spark, folder)), _specs(spark, folder)))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p6_pack(spark, folder), _specs(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    first = _specs(spark, folder).agg(F.min("tokenizer")).first()[0]
+    return mixing.mix(_sized(spark, folder).where(F.col("tokenizer") == first), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
