@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelworks.llm import mixing, packing, tokens, turns
+from gavelworks.llm import mixing, packing, subjects, tokens, turns
 from gavelworks.storage import cut
 from gavelworks.tables import table
 
@@ -50,5 +50,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(*[table(spark, folder, t) for t in ("documents", "subject_labels", "subject_areas")])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_make_up(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.make_up(_subjects(spark, folder), table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_make_up": p8_make_up}
 SQL: dict[str, str] = {}
