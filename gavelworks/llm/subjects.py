@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from gavelworks.storage import cut
 
-SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 3, 2
+SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 2, 2
 #: A term is about a subject if so large a share of its mentions is, of so many at least; or a lesser share of more mentions.
 PURE, MENTIONS, FAIRLY_PURE, MANY_MENTIONS = 0.7, 3, 0.5, 12
 #: A term with so many mentions of which no subject has this share is about none, and is left out of later rounds.
 FLAT, FLAT_MENTIONS = 0.35, 20
 #: Weight of a label that a sentence takes from its document, and of the prior in a term's share.
-BORROWED, PRIOR = 0.4, 1.0
+BORROWED, PRIOR = 0.4, 2.0
+#: Mentions that each term of a scope note counts for.
+NOTE_MENTIONS = 6.0
 #: A frame (or form) is in passing if, of so many documents or more that have it, less than this share has others of the subject.
 FRAME_MENTIONS, COHERENT = 8, 0.55
 
@@ -61,7 +63,8 @@ def sentences(text: Column) -> Column:
 
 def words_of(sentence: Column) -> Column:
     stop = sorted(set(STOP.split()))
-    return F.filter(F.split(sentence, " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    kept = F.filter(F.split(sentence, " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    return F.transform(kept, lambda w: F.regexp_replace(w, r"(?<=[a-z]{3}[a-rt-z])s$", ""))  # plurals
 
 
 def terms_of(sentence: Column) -> Column:
@@ -121,7 +124,7 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
     known = areas.select("subject").where("subject is not null").distinct()
     clamp = labels.select("doc_id", "subject").distinct().join(F.broadcast(known), "subject").join(docs, "doc_id").select("tid", "subject").distinct()
     notes = areas.where("subject is not null").select("subject", F.explode(sentences(F.concat_ws(" ", F.translate("subject", "_", " "), "scope_note"))).alias("s"))
-    note_mentions = notes.select(F.explode(terms_of(F.col("s"))).alias("term"), "subject", F.lit(1.0).alias("p"))
+    note_mentions = notes.select(F.explode(terms_of(F.col("s"))).alias("term"), "subject", F.lit(NOTE_MENTIONS).alias("p"))
     # 1. within labelled documents: each sentence may take each of its document's subjects
     allowed = cut(occurrences.join(clamp, "tid").select("tid", "fid", "subject"))
     among = allowed.groupBy("tid", "fid").agg(F.count("*").alias("k"))
@@ -136,6 +139,7 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         total = weighed.groupBy("tid", "fid").agg(F.sum("e").alias("z"))
         state = weighed.join(total, ["tid", "fid"]).select("tid", "fid", "subject", (F.col("e") / F.col("z")).alias("p"))
     # 2. over all documents
+    readers = clamp.groupBy("tid").agg(F.collect_set("subject").alias("readers"))
     for turn in range(ROUNDS):
         if turn == 1:
             flat = table.groupBy("term").agg(F.max("share").alias("share"), F.max("n").alias("n")).where((F.col("share") < FLAT) & (F.col("n") >= FLAT_MENTIONS))
@@ -143,11 +147,9 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         best = _best(form_terms, table)
         placed = cut(occurrences.join(best, "fid").select("tid", "fid", "subject", "n"))
         own = placed.join(_in_passing(placed, "fid"), "fid", "left_anti").select("tid", "fid", "subject")
-        ruled = own.join(clamp.select(F.col("tid").alias("t"), F.lit(1).alias("seeded")).distinct(), F.col("tid") == F.col("t"), "left").join(
-            clamp.withColumnRenamed("subject", "c").withColumnRenamed("tid", "t2"), (F.col("tid") == F.col("t2")) & (F.col("subject") == F.col("c")), "left"
-        )
         # a label against the reader's counts half
-        own = cut(ruled.select("tid", "fid", "subject", F.when(F.col("seeded").isNull() | F.col("c").isNotNull(), 1.0).otherwise(0.5).alias("p")))
+        agreed = F.when(F.col("readers").isNull() | F.array_contains("readers", F.col("subject")), 1.0).otherwise(0.5)
+        own = cut(own.join(readers, "tid", "left").select("tid", "fid", "subject", agreed.alias("p")))
         per = own.groupBy("tid", "subject").agg(F.sum("p").alias("c"))
         mixture = per.join(per.groupBy("tid").agg(F.sum("c").alias("all")), "tid").select("tid", "subject", (F.col("c") / F.col("all")).alias("p"))
         rest = occurrences.join(placed.select("fid").distinct(), "fid", "left_anti").select("tid", "fid")
