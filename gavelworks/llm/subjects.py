@@ -27,6 +27,8 @@ from gavelworks.storage import cut
 SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 2, 2
 #: A term is about a subject if so large a share of its mentions is, of so many at least; or a lesser share of more mentions.
 PURE, MENTIONS, FAIRLY_PURE, MANY_MENTIONS = 0.7, 3, 0.5, 12
+#: Least logarithm of how much likelier a subject is with a term of its own than without.
+SETS_APART = 0.26
 #: A term with so many mentions of which no subject has this share is about none, and is left out of later rounds.
 FLAT, FLAT_MENTIONS = 0.35, 20
 #: Weight of a label that a sentence takes from its document, and of the prior in a term's share.
@@ -91,7 +93,7 @@ def _base(labelled: DataFrame) -> DataFrame:
 
 def _best(form_terms: DataFrame, table: DataFrame) -> DataFrame:
     """(fid, subject, score) of each form that has a pure term: the subject with the most lift among its pure terms."""
-    pure = table.where(((F.col("share") >= PURE) & (F.col("n") >= MENTIONS)) | ((F.col("share") >= FAIRLY_PURE) & (F.col("n") >= MANY_MENTIONS)))
+    pure = table.where(F.col("lift") >= SETS_APART).where(((F.col("share") >= PURE) & (F.col("n") >= MENTIONS)) | ((F.col("share") >= FAIRLY_PURE) & (F.col("n") >= MANY_MENTIONS)))
     scored = form_terms.join(pure, "term").groupBy("fid", "subject").agg(F.sum(F.col("lift") * F.col("share")).alias("score"))
     return scored.groupBy("fid").agg(F.max_by("subject", F.struct("score", "subject")).alias("subject"), F.max("score").alias("score"))
 
@@ -99,8 +101,9 @@ def _best(form_terms: DataFrame, table: DataFrame) -> DataFrame:
 def _in_passing(placed: DataFrame, key: str) -> DataFrame:
     """The keys (forms or frames) of placed (tid, subject, n, key) whose subject mostly stands alone in the document."""
     inside = placed.groupBy("tid", "subject").agg(F.sum("n").alias("all"))
-    own = placed.groupBy("tid", "subject", key).agg(F.sum("n").alias("own"))
-    stands = own.join(inside, ["tid", "subject"]).groupBy(key).agg(F.count("*").alias("m"), F.avg((F.col("all") > F.col("own")).cast("int")).alias("coherence"))
+    own = placed.groupBy("tid", "subject", key).agg(F.sum("n").alias("own"), F.count("*").alias("forms"))
+    others = ((F.col("all") > F.col("own")) | (F.col("forms") > 1)).cast("int")
+    stands = own.join(inside, ["tid", "subject"]).groupBy(key).agg(F.count("*").alias("m"), F.avg(others).alias("coherence"))
     return stands.where((F.col("m") >= FRAME_MENTIONS) & (F.col("coherence") < COHERENT)).select(key)
 
 
@@ -172,7 +175,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame)
     docs, occurrences, form_terms, table = spread(documents, labels, areas)
     best = cut(_best(form_terms, table))
     # 3. frames: what is left of a form's terms without those that are about its subject
-    about = table.where(F.col("share") >= 0.4).select("term", F.col("subject").alias("s2"))
+    about = table.where((F.col("share") >= 0.4) & (F.col("lift") >= SETS_APART)).select("term", F.col("subject").alias("s2"))
     marked = form_terms.join(best, "fid").join(about, ["term"], "left")
     frame = marked.groupBy("fid", "subject").agg(F.sort_array(F.collect_set(F.when(F.col("s2").isNull(), F.col("term")))).alias("left"))
     framed = cut(frame.select("fid", "subject", F.xxhash64("left").alias("frame")))
