@@ -102,7 +102,7 @@ def repair(tokens: DataFrame, terms: DataFrame, thesaurus: str = THESAURUS) -> D
     spark = tokens.sparkSession
     own = tokens.withColumn("k", F.explode(_deletions("token")))
     goal = terms.withColumn("k", F.explode(_deletions("term")))
-    by_edit = own.join(goal, ["list", "k"]).select("list", "token", "term")
+    by_edit = own.join(goal.hint("merge"), ["list", "k"]).select("list", "token", "term")
     stem = own.select("list", "token").distinct().withColumn("k", F.substring("token", 1, 4)).where("length(token) > 3")
     by_stem = stem.join(terms.withColumn("k", F.substring("term", 1, 4)), ["list", "k"]).select("list", "token", "term")
     short = tokens.where("length(token) <= 6").withColumn("k", F.substring("token", 1, 1))

@@ -284,14 +284,14 @@ def similar_tokens(tokens: DataFrame, threshold: float = GRAM_SIMILARITY) -> Dat
     padded = F.concat(F.lit("^" * (Q - 1)), F.col("token"), F.lit("$" * (Q - 1)))
     grams = tokens.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - Q + 1), lambda i: padded.substr(i, F.lit(Q))))))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    sets = grams.join(frequency, "gram").groupBy("scope", "kind", "token").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    sets = grams.join(frequency.hint("merge"), "gram").groupBy("scope", "kind", "token").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     own = sets.select("scope", "kind", "token", F.col("g.gram").alias("grams"))
     prefix = own.withColumn("gram", F.explode(F.expr(f"slice(grams, 1, size(grams) - cast(ceil({threshold} * size(grams)) as int) + 1)")))
     left = prefix.select("scope", "kind", "gram", F.col("token").alias("ta"), F.col("grams").alias("ga"))
     right = prefix.select("scope", "kind", "gram", F.col("token").alias("tb"), F.col("grams").alias("gb"))
     near = (F.col("ta") < F.col("tb")) & (F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))) & (F.levenshtein("ta", "tb", 4) >= 0)
     both = F.size(F.array_intersect("ga", "gb"))
-    pairs = left.join(right, ["scope", "kind", "gram"]).where(near).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("scope", "kind", "ta", "tb").distinct()
+    pairs = left.join(right.hint("merge"), ["scope", "kind", "gram"]).where(near).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("scope", "kind", "ta", "tb").distinct()
     return pairs.unionByName(pairs.select("scope", "kind", F.col("tb").alias("ta"), F.col("ta").alias("tb"))).unionByName(
         tokens.select("scope", "kind", F.col("token").alias("ta"), F.col("token").alias("tb"))
     )
@@ -341,8 +341,8 @@ def link_names(names: DataFrame) -> DataFrame:
     near = similar_tokens(tokens)
     a = keyed.select(*[F.col(c).alias(f"{c}_a") for c in keyed.columns])
     b = keyed.select(*[F.col(c).alias(f"{c}_b") for c in keyed.columns])
-    cand = near.join(a, (F.col("scope") == F.col("scope_a")) & (F.col("kind") == F.col("kind_a")) & (F.col("ta") == F.col("token_a"))).join(
-        b, (F.col("scope") == F.col("scope_b")) & (F.col("kind") == F.col("kind_b")) & (F.col("tb") == F.col("token_b"))
+    cand = near.join(a.hint("merge"), (F.col("scope") == F.col("scope_a")) & (F.col("kind") == F.col("kind_a")) & (F.col("ta") == F.col("token_a"))).join(
+        b.hint("merge"), (F.col("scope") == F.col("scope_b")) & (F.col("kind") == F.col("kind_b")) & (F.col("tb") == F.col("token_b"))
     )
     full = lambda s: (F.col(f"kind_{s}") == "body") | (F.length(f"given_{s}") > 1)
     # full names are compared once; partial ones are compared with every other name, as the first of the two
@@ -391,4 +391,4 @@ def variant_pairs(names: DataFrame) -> DataFrame:
     linked = cut(link_names(names))
     a = linked.select("scope", "entity", F.col("name").alias("name_a"))
     b = linked.select("scope", "entity", F.col("name").alias("name_b"))
-    return a.join(b, ["scope", "entity"]).where("name_a < name_b").select("scope", "name_a", "name_b").distinct()
+    return a.join(b.hint("merge"), ["scope", "entity"]).where("name_a < name_b").select("scope", "name_a", "name_b").distinct()
