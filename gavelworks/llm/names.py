@@ -3,8 +3,8 @@
 1. Every distinct spelling is parsed: a person into surname, given name and middle initial, a body (committee, council ...)
    into its words. Which words are given names, and which nickname stands for which name, is learned from the spellings
    that show it ("Surname, Given"; Given "Nick" Surname), beside a fixed list of common nicknames.
-2. The rare tokens (surnames; of a body the words that few bodies share) are joined within a scope by set similarity of
-   their q-grams: each token is looked up by a prefix of its grams, rarest first, which any similar token must share.
+2. The rare tokens (surnames; of a body the words that few bodies share) are joined within a scope to the surnames, or to all
+   words of bodies, that step 3 could take for the same word: by what is left of both without a few letters, or by beginnings.
 3. Names that share similar rare tokens are compared token by token: equal, abbreviated, nickname or misspelt tokens count
    by their similarity, weighted by rarity; tokens that contradict each other (Ann and Robert, B. and C.) rule a pair out.
 4. Full names that agree are one entity, through any number of steps. A spelling with only an initial, or only a surname,
@@ -21,7 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gavelworks.storage import cut
@@ -80,8 +81,8 @@ richard: rich rick dick ricky; robert: bob bobby rob robbie bert; ronald: ron; r
 susannah: sue susie suzy susan; susan: sue susie; theodore: ted teddy theo; thomas: tom tommy; timothy: tim; victoria: vicky vickie tori; vincent: vince vinny vin;
 walter: walt wally; william: will bill billy liam willy; yolanda: yoli yola; zachary: zach zack zac
 """
-#: q-gram length, least Jaccard similarity of two tokens' gram sets, and least weighted similarity of two names.
-Q, GRAM_SIMILARITY, NAME_SIMILARITY = 2, 0.3, 0.72
+#: q-gram length, letters from which a word is joined by its q-grams, and least weighted similarity of two names.
+Q, LONG, NAME_SIMILARITY = 2, 16, 0.72
 #: A word is a known given name (or nickname, or common word of bodies) from this share of the forms that show it; so each list is bounded.
 KNOWN_SHARE = 0.001
 
@@ -181,6 +182,12 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < 6 else 2 if n < 10 else 3
 
 
+def reach(a: str, b: str, kind: str) -> int:
+    """The most edits between two words at which some names with them are still one: a surname gets two edits where the given names agree."""
+    most = allowed(a, b)
+    return 2 if most == 1 and kind == "person" else most
+
+
 def _abbreviates(a: str, b: str) -> bool:
     """Whether the shorter is a beginning of the longer, or has its first letter and its consonants in order."""
     a, b = sorted((a, b), key=len)
@@ -276,25 +283,49 @@ def _frequent(words: DataFrame, share: float) -> list[tuple]:
     return [tuple(r) for r in words.groupBy(*words.columns).count().where(F.col("count") >= max(2, share * total)).collect()]
 
 
-def similar_tokens(tokens: DataFrame, threshold: float = GRAM_SIMILARITY) -> DataFrame:
-    """(scope, kind, ta, tb) of tokens (scope, kind, token) whose sets of q-grams have a Jaccard similarity of at least threshold; both ways, equal ones included.
+def _spared(words: Column) -> Column:
+    """The distinct words that are left when one letter of one of the words is taken out."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w)))))))
+
+
+def _near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f[[distance(a, b, reach(a, b, k)) <= reach(a, b, k) for a, b, k in zip(f["ta"], f["tb"], f["kind"])]]
 
-    Prefix filter: of n grams, rarest first, only the first n - ceil(threshold n) + 1 are joined; similar sets share one of them.
+
+def similar_tokens(tokens: DataFrame) -> DataFrame:
+    """(scope, kind, ta, tb) of every two tokens (scope, kind, token) that may be one word: reach() edits apart or less or, of bodies, abbreviated; both ways, equal ones included.
+
+    Words k edits apart (swaps too) have a word in common that each gives with k letters or fewer taken out; these are joined. Long words have too many of them:
+    they are joined by their rarest q-grams, of which an edit spoils q + 1 at most, so that of more than (q + 1) k the words share one. An abbreviation is joined to the beginnings of words.
     """
+    key = ["scope", "kind"]
+    n = F.length("token")
+    k = F.when(n < 6, F.when(F.col("kind") == "person", 2).otherwise(1)).when(n < 10, 2).otherwise(3)
+    one = _spared(F.array("token"))
+    two = _spared(one)
+    left_over = F.concat(F.array("token"), one, F.when(k > 1, two).otherwise(F.array().cast("array<string>")), F.when(k > 2, _spared(two)).otherwise(F.array().cast("array<string>")))
+    short = tokens.where((n >= 4) & (n < LONG)).select(*key, "token", F.explode(left_over).alias("part"))
     padded = F.concat(F.lit("^" * (Q - 1)), F.col("token"), F.lit("$" * (Q - 1)))
-    grams = tokens.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - Q + 1), lambda i: padded.substr(i, F.lit(Q))))))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    sets = grams.join(frequency.hint("merge"), "gram").groupBy("scope", "kind", "token").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    own = sets.select("scope", "kind", "token", F.col("g.gram").alias("grams"))
-    prefix = own.withColumn("gram", F.explode(F.expr(f"slice(grams, 1, size(grams) - cast(ceil({threshold} * size(grams)) as int) + 1)")))
-    left = prefix.select("scope", "kind", "gram", F.col("token").alias("ta"), F.col("grams").alias("ga"))
-    right = prefix.select("scope", "kind", "gram", F.col("token").alias("tb"), F.col("grams").alias("gb"))
-    near = (F.col("ta") < F.col("tb")) & (F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))) & (F.levenshtein("ta", "tb", 4) >= 0)
-    both = F.size(F.array_intersect("ga", "gb"))
-    pairs = left.join(right.hint("merge"), ["scope", "kind", "gram"]).where(near).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("scope", "kind", "ta", "tb").distinct()
-    return pairs.unionByName(pairs.select("scope", "kind", F.col("tb").alias("ta"), F.col("ta").alias("tb"))).unionByName(
-        tokens.select("scope", "kind", F.col("token").alias("ta"), F.col("token").alias("tb"))
-    )
+    # a pair with one word below LONG and one not below is among these too
+    grams = tokens.where(n >= LONG - 3).select(*key, "token", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - Q + 1), lambda i: padded.substr(i, F.lit(Q)))).alias("at", "gram"))
+    counted = grams.withColumn("part", F.concat("gram", F.row_number().over(W.partitionBy(*key, "token", "gram").orderBy("at")).cast("string")))
+    frequency = counted.groupBy("part").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(W.partitionBy(*key, "token").orderBy("df", "part"))
+    long = counted.join(frequency.hint("merge"), "part").withColumn("nth", nth).where(F.col("nth") <= (Q + 1) * 3 + 1).select(*key, "token", "part")
+    near = (F.col("ta") < F.col("tb")) & (F.abs(F.length("ta") - F.length("tb")) <= 3)
+    met = None
+    for keys in (short, long):
+        left, right = (keys.select(*key, "part", F.col("token").alias(t)) for t in ("ta", "tb"))
+        own = left.join(right.hint("merge"), [*key, "part"]).where(near).select(*key, "ta", "tb")
+        met = own if met is None else met.unionByName(own)
+    pairs = met.distinct().mapInPandas(_near, "scope string, kind string, ta string, tb string")
+    words = tokens.where("kind = 'body'")
+    begun = words.where(n >= 4).select(*key, F.col("token").alias("tb"), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2))), lambda i: F.col("token").substr(F.lit(1), i))).alias("ta"))
+    abbreviated = begun.join(words.select(*key, F.col("token").alias("ta")).hint("merge"), [*key, "ta"]).select(*key, "ta", "tb")
+    pairs = pairs.unionByName(abbreviated)
+    both = pairs.unionByName(pairs.select(*key, F.col("tb").alias("ta"), F.col("ta").alias("tb")))
+    return both.unionByName(tokens.select(*key, F.col("token").alias("ta"), F.col("token").alias("tb"))).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -337,10 +368,12 @@ def link_names(names: DataFrame) -> DataFrame:
     frequency = keyed.groupBy("kind", "token").agg(F.count("*").alias("df"))
     keyed = cut(keyed.join(frequency, ["kind", "token"]))
     n_forms = max(2, keyed.count())
-    tokens = keyed.select("scope", "kind", "token").distinct()
-    near = similar_tokens(tokens)
+    # the rare words of one are met with every word of the other, which may have the word as a common one
+    whole = forms.withColumn("token", F.explode(F.when(F.col("kind") == "person", F.array("surname")).otherwise(F.col("words"))))
+    whole = cut(whole.join(frequency, ["kind", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))))
+    near = similar_tokens(whole.select("scope", "kind", "token").distinct())
     a = keyed.select(*[F.col(c).alias(f"{c}_a") for c in keyed.columns])
-    b = keyed.select(*[F.col(c).alias(f"{c}_b") for c in keyed.columns])
+    b = whole.select(*[F.col(c).alias(f"{c}_b") for c in whole.columns])
     cand = near.join(a.hint("merge"), (F.col("scope") == F.col("scope_a")) & (F.col("kind") == F.col("kind_a")) & (F.col("ta") == F.col("token_a"))).join(
         b.hint("merge"), (F.col("scope") == F.col("scope_b")) & (F.col("kind") == F.col("kind_b")) & (F.col("tb") == F.col("token_b"))
     )

@@ -42,6 +42,17 @@ def test_similar_tokens_match_brute_force(spark):
     assert want <= got and len(got) < len(words) ** 2
 
 
+def test_every_pair_that_verification_takes_is_met(spark):
+    words = ["tharkey", "thaokye", "cruz", "curz", "crzu", "naulifold", "nualiflod", "fin", "finance", "finances", "ad", "administration", "adminsitratoin", "aaaaaaaaaaaa", "aaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaa", "abracadabraabracadabra", "abarcadabraabarcadabraa", "zz", "zzz"]
+    df = spark.createDataFrame([("s", k, w) for k in ("person", "body") for w in words], "scope string, kind string, token string")
+    fits = lambda k, a, b: names.distance(a, b, 3) <= names.reach(a, b, k) or (k == "body" and names._abbreviates(a, b))
+    want = {(k, a, b) for k in ("person", "body") for a in words for b in words if fits(k, a, b)}
+    assert {(r.kind, r.ta, r.tb) for r in names.similar_tokens(df).collect()} == want
+    pairs = [("Rob Thaokye", "Tharkey, Robert"), ("Ann Cruz", "Ann Curz"), ("Fin Committee", "Finances Committee")]
+    linked = names.variant_pairs(spark.createDataFrame([(str(i), n) for i, p in enumerate(pairs) for n in p], "scope string, name string"))
+    assert {(r.name_a, r.name_b) for r in linked.collect()} == {tuple(sorted(p)) for p in pairs}
+
+
 def test_distance():
     assert [names.distance(*x) for x in (("abc", "abc"), ("abc", "acb"), ("abc", "abd"), ("abcdef", "badcfe"), ("a", "xxxxx"))] == [0, 1, 1, 3, 4]
 
