@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gavelworks.functions.text import half_up, word_count
+from gavelworks.storage import cut
 
 #: Sizes in estimated tokens, and words that a chunk carries over from the one before.
 TARGET, MOST, OVERLAP_WORDS = 400, 500, 40
@@ -61,52 +64,169 @@ def dominant(rows: DataFrame, by: list[str], value: str, order: Column) -> DataF
     return counted.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("n"), "at", value)).alias(value), F.max("n").alias("n"))
 
 
-def chunk(segments: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Segments (doc, start, end, text, speaker) packed in order into chunks: (doc, chunk_index, text, speaker, start_time, end_time, n_words, token_count).
-
-    A chunk closes at `target` estimated tokens, or before a segment that would take it past `most`; it begins with the last words
-    of the chunk before. A segment past `most` is cut. Null and blank texts are skipped. A document is folded in one task.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        words: list[str] = []
-        speakers: dict[str, int] = {}
-        span: list[float] = []
-        cost = lambda n: int(n * 1.3)
+def text_start(text: Column) -> Column:
+    """Seconds of the first time mark in a text (bracketed, the first of a range, or with hours or a fraction); null without one."""
+    plain = F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
+    time = r"\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?"
+    mark = rf"[\[<{{(]\s*{time}\s*(?:-+>|[\]>}})])|{time}\s*-+>|(?<![\d:.])(?:\d{{1,2}}:\d\d:\d\d(?:[.,]\d+)?|\d{{1,2}}:\d\d[.,]\d{{3}})(?![\d:])"
+    parts = F.split(F.translate(F.regexp_extract(F.regexp_extract(plain, mark, 0), time, 0), ",", "."), ":")
+    number = F.transform(parts, lambda x: x.try_cast("double"))
+    return F.when(F.size(number) > 1, F.aggregate(number, F.lit(0.0), lambda t, x: t * 60 + x))
+
+
+def _cost(words: int) -> int:
+    return int(words * 1.3)
+
+
+class _Packing:
+    """The rule of chunk(): which parts of segments close a chunk, from the number of words that it holds."""
+
+    def __init__(self, target: int, most: int):
+        self.target, self.most, self.step = target, most, max(1, int(target / 1.3))
+        #: A chunk that is still open holds fewer words than this.
+        self.states = next(n for n in range(1, target + 2) if _cost(n) >= target)
+
+    def parts(self, n: int) -> list[int]:
+        """The words of each part of a segment of n words."""
+        if _cost(n) <= self.most:
+            return [n] if n else []
+        return [min(self.step, n - i) for i in range(0, n, self.step)]
+
+    def add(self, held: int, n: int) -> tuple[bool, bool, int]:
+        """Whether the chunk closes before a part of n words, whether one closes after it, and the words held then."""
+        before = held > 0 and _cost(held + n) > self.most
+        held = n if before else held + n
+        after = _cost(held) >= self.target
+        return before, after, 0 if after else held
+
+
+def _outcomes(packing: _Packing):
+    """(pid, first, last, held, closed, table) of each partition, whose rows (pid, doc, text) are in order: the words held and chunks closed after its last document, if that begins here; table has both for each number of words held before, if it is the only one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, first, doc, held, closed = None, None, None, 0, 0
+        # the different paths (words held: chunks closed beyond those of its start) and where each start is
+        paths: list[list[int]] = []
+        at = list(range(packing.states))
+        starts: list[int] = []
+        for f in frames:
+            for p, d, text in zip(f["pid"].tolist(), f["doc"].tolist(), f["text"].tolist(), strict=True):
+                if pid is None:
+                    pid, first, doc = p, d, d
+                    paths, starts = [[h, 0] for h in range(packing.states)], [0] * packing.states
+                if d != doc:
+                    doc, held, closed, paths = d, 0, 0, []
+                for part in packing.parts(len(text.split()) if isinstance(text, str) else 0):
+                    before, after, held = packing.add(held, part)
+                    closed += before + after
+                    for path in paths:
+                        b, a, path[0] = packing.add(path[0], part)
+                        path[1] += b + a
+                    if len({path[0] for path in paths}) < len(paths):
+                        # paths that hold the same go on as one
+                        kept: dict[int, int] = {}
+                        for i, (h, _) in enumerate(paths):
+                            kept.setdefault(h, i)
+                        number = {i: k for k, i in enumerate(kept.values())}
+                        joined = [kept[h] for h, _ in paths]
+                        for s, i in enumerate(at):
+                            starts[s] += paths[i][1] - paths[joined[i]][1]
+                            at[s] = number[joined[i]]
+                        paths = [paths[i] for i in number]
+        if pid is not None:
+            table = [x for s, i in enumerate(at) for x in (paths[i][0], starts[s] + paths[i][1])] if paths else []
+            yield pd.DataFrame({"pid": [pid], "first": [first], "last": [doc], "held": [held], "closed": [closed], "table": [table]})
+
+    return run
+
+
+def _carried(outcomes: list) -> dict[int, tuple[int, int]]:
+    """Of each partition, the words held and the chunks closed already of its first document."""
+    found, last, state = {}, None, (0, 0)
+    for o in sorted(outcomes, key=lambda o: o["pid"]):
+        held, closed = state if o["first"] == last else (0, 0)
+        found[o["pid"]] = (held, closed)
+        state = (o["table"][2 * held], closed + o["table"][2 * held + 1]) if o["table"] else (o["held"], o["closed"])
+        last = o["last"]
+    return found
+
+
+def _pieces(packing: _Packing, carried: dict[int, tuple[int, int]], overlap: int):
+    """(doc, chunk_index, pid, own, tail, said, start, end, n) of what each partition has of a chunk; said: the speaker of each part. A row without words hands the last ones on as the next chunk's tail."""
+    columns = ["doc", "chunk_index", "pid", "own", "tail", "said", "start", "end", "n"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, held, index, pid = None, 0, 0, None
+        words, said, times = [], [], []
+        out: list[tuple] = []
 
         def close() -> None:
-            if not words:
-                return
-            tail = out[-1]["_own"].split()[-overlap:] if out and overlap else []
-            own = " ".join(words)
-            best = max(speakers, key=lambda s: speakers[s]) if speakers else None
-            out.append({"doc": group["doc"].iloc[0], "chunk_index": len(out), "text": " ".join([*tail, own]), "speaker": best, "start_time": min(span), "end_time": max(span), "n_words": len(words), "token_count": cost(len(words) + len(tail)), "_own": own})
-            words.clear()
-            speakers.clear()
-            span.clear()
-
-        step = max(1, int(target / 1.3))
-        for r in group.sort_values(["start", "end"], kind="stable").itertuples(index=False):
-            said = (r.text or "").split()
-            parts = [said[i : i + step] for i in range(0, len(said), step)] if cost(len(said)) > most else [said]
-            for part in parts:
-                if not part:
-                    continue
-                if words and cost(len(words) + len(part)) > most:
-                    close()
-                words.extend(part)
-                span.extend([r.start, r.end])
-                if r.speaker:
-                    speakers[r.speaker] = speakers.get(r.speaker, 0) + 1
-                if cost(len(words)) >= target:
+            if words:
+                out.append((doc, index, pid, " ".join(words), None, said.copy(), min(times, default=None), max(times, default=None), len(words)))
+                if overlap:
+                    out.append((doc, index + 1, pid, None, " ".join(words[-overlap:]), [], None, None, 0))
+            words.clear(), said.clear(), times.clear()
+
+        for f in frames:
+            for p, d, text, by, start, end in zip(*(f[c].tolist() for c in ("pid", "doc", "text", "speaker", "start", "end")), strict=True):
+                if pid is None:
+                    pid, doc = p, d
+                    held, index = carried[p]
+                if d != doc:
                     close()
+                    doc, held, index = d, 0, 0
+                every, i = text.split() if isinstance(text, str) else [], 0
+                for n in packing.parts(len(every)):
+                    before, after, held = packing.add(held, n)
+                    if before:
+                        close()
+                        index += 1
+                    words.extend(every[i : i + n])
+                    i += n
+                    times.extend(t for t in (start, end) if t == t and t is not None)
+                    if isinstance(by, str) and by:
+                        said.append(by)
+                    if after:
+                        close()
+                        index += 1
+            yield pd.DataFrame(out, columns=columns)
+            out.clear()
         close()
-        columns = ["doc", "chunk_index", "text", "speaker", "start_time", "end_time", "n_words", "token_count"]
-        return pd.DataFrame(out, columns=[*columns, "_own"])[columns]
+        yield pd.DataFrame(out, columns=columns)
 
-    schema = "doc string, chunk_index int, text string, speaker string, start_time double, end_time double, n_words int, token_count int"
-    return segments.where("doc is not null").groupBy("doc").applyInPandas(fold, schema)
+    return run
+
+
+def chunk(segments: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """Segments (doc, start, end, text, speaker) packed in order into chunks: (doc, chunk_index, text, speaker, start_time, end_time, n_words, token_count).
+
+    A chunk closes at `target` estimated tokens, or before a segment that would take it past `most`; it begins with the last words
+    of the chunk before. A segment past `most` is cut. Null and blank texts are skipped. A segment without a start has that of the time in its text,
+    else its end, else comes last. Segments of one time are ordered by text and speaker; by a column `seq` first, if there is one, and
+    then repeated segments count once.
+
+    Rows are spread by document and time, so that a long document has several stretches. What a stretch makes of each number of words that the chunk
+    before it may hold is found first; with what each is handed on, all stretches are then packed at once.
+    """
+    packing = _Packing(target, most)
+    seq = F.col("seq") if "seq" in segments.columns else F.lit(None).cast("long")
+    own = segments.where("doc is not null").select("doc", F.coalesce("start", text_start(F.col("text")), "end").cast("double").alias("start"), F.col("end").cast("double").alias("end"), seq.alias("seq"), "text", "speaker")
+    order = [F.col(c).asc_nulls_last() for c in ("doc", "start", "end", "seq", "text", "speaker")]
+    dealt = own.repartitionByRange(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    # equal rows lie together, so this takes no further exchange
+    once = dealt.distinct() if "seq" in segments.columns else dealt
+    placed = cut(once.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
+    outcomes = placed.select("pid", "doc", "text").mapInPandas(_outcomes(packing), "pid int, first string, last string, held int, closed int, table array<int>").collect()
+    pieces = placed.mapInPandas(_pieces(packing, _carried(outcomes), overlap), "doc string, chunk_index int, pid int, own string, tail string, said array<string>, start double, end double, n int")
+    parts = F.array_sort(F.collect_list(F.struct("pid", "own", "tail", "said")))
+    whole = pieces.groupBy("doc", "chunk_index").agg(parts.alias("p"), F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.sum("n").cast("int").alias("n_words")).where("n_words > 0")
+    said = F.flatten(F.col("p.said"))
+    often = F.transform(F.array_distinct(said), lambda x, i: F.struct(F.size(F.filter(said, lambda y: y == x)), -i, x.alias("speaker")))
+    before = F.filter(F.split(F.array_join("p.tail", " "), " "), lambda w: w != "")
+    tail = F.slice(before, F.greatest(F.size(before) - overlap + 1, F.lit(1)), overlap)
+    whole = whole.select("doc", "chunk_index", tail.alias("tail"), F.array_join("p.own", " ").alias("own"), F.array_max(often)["speaker"].alias("speaker"), "start_time", "end_time", "n_words")
+    text = F.when(F.size("tail") > 0, F.concat_ws(" ", F.array_join("tail", " "), "own")).otherwise(F.col("own"))
+    return whole.select("doc", "chunk_index", text.alias("text"), "speaker", "start_time", "end_time", "n_words", F.floor((F.col("n_words") + F.size("tail")) * 1.3).cast("int").alias("token_count"))
 
 
 def normal(c: Column) -> Column:

@@ -56,8 +56,8 @@ def _dense(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunked(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "cleaned_segments").distinct().where("start_time is not null")
-    return C.chunk(own.select(F.col("video_id").alias("doc"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), "text", "speaker"))
+    own = table(spark, folder, "cleaned_segments")
+    return C.chunk(own.select(F.col("video_id").alias("doc"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("segment_id").alias("seq"), "text", "speaker"))
 
 
 QUERIES = {

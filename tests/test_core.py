@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 
 import pandas as pd
@@ -50,6 +51,33 @@ def test_chunks_hold_every_word_once_besides_the_overlap(spark):
     assert tail[1].text.split()[:5] == tail[0].text.split()[-5:]
 
 
+def test_chunks_go_on_across_stretches_and_keep_segments_without_a_start(spark):
+    rng = random.Random(5)
+    rows = [("v" if i % 9 else "u", float(i), i + 1.0, " ".join(f"w{i}_{j}" for j in range(rng.choice([0, 3, 17, 60, 190, 420]))), rng.choice(["a", "b", None])) for i in range(300)]
+    late = [("v", None, 500.0, "[00:00:50] fifty", "c"), ("v", None, 120.0, "none", "c"), ("v", None, None, "last", None)]
+    df = spark.createDataFrame(rows + late, "doc string, start double, end double, text string, speaker string")
+    got = corpus.chunk(df, overlap=7).orderBy("doc", "chunk_index").collect()
+    for doc in "uv":
+        # packed again by hand, in one go
+        said = sorted([(50.0 if "fifty" in r[3] else 120.0 if r[3] == "none" else 1e9 if r[1] is None else r[1], r[2] or 1e9, r[3].split()) for r in rows + late if r[0] == doc], key=lambda r: r[:2])
+        want, held = [], []
+        for *_, words in said:
+            for part in [words[i : i + 307] for i in range(0, len(words), 307)] if int(len(words) * 1.3) > 500 else [words]:
+                if held and part and int((len(held) + len(part)) * 1.3) > 500:
+                    want.append(held)
+                    held = []
+                held = held + part
+                if int(len(held) * 1.3) >= 400:
+                    want.append(held)
+                    held = []
+        want += [held] if held else []
+        mine = [r for r in got if r.doc == doc]
+        assert [r.chunk_index for r in mine] == list(range(len(want)))
+        assert [r.text.split() for r in mine] == [(want[i - 1][-7:] if i else []) + w for i, w in enumerate(want)]
+        assert [r.token_count for r in mine] == [int(len(r.text.split()) * 1.3) for r in mine]
+    assert corpus.chunk(df.limit(0)).count() == 0
+
+
 def test_quotes(spark):
     chunks = spark.createDataFrame([("A_1", "The  Board’s vote was unanimous.")], "chunk_id string, text string")
     evidence = spark.createDataFrame([(1, " a_1", "board's VOTE was"), (2, "a_1", "short"), (3, "zz", "board's vote was"), (4, "a_1", "not in there at all"), (5, None, None)], "evidence_id int, chunk_id string, exact_quote string")
