@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gavelworks.storage import cut
 
-SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 2, 2
+SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 3, 2
 #: A term is about a subject if so large a share of its mentions is, of so many at least; or a lesser share of more mentions.
 PURE, MENTIONS, FAIRLY_PURE, MANY_MENTIONS = 0.7, 3, 0.5, 12
 #: Least logarithm of how much likelier a subject is with a term of its own than without.
@@ -78,7 +78,7 @@ def terms_of(sentence: Column) -> Column:
 
 def _term_table(mentions: DataFrame, base: DataFrame) -> DataFrame:
     """(term, subject, lift, share, n) from mentions (term, subject or null, p): the share of a term's mentions that a subject has, against its share of all."""
-    total = mentions.groupBy("term", "subject").agg(F.sum("p").alias("c"))
+    total = cut(mentions.groupBy("term", "subject").agg(F.sum("p").alias("c")))  # read twice, and planned once
     n = total.groupBy("term").agg(F.sum("c").alias("n"))
     each = total.where("subject is not null").join(n, "term").join(F.broadcast(base), "subject")
     share = (F.col("c") + PRIOR * F.col("pi")) / (F.col("n") + PRIOR)
@@ -154,15 +154,16 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         agreed = F.when(F.col("readers").isNull() | F.array_contains("readers", F.col("subject")), 1.0).otherwise(0.5)
         own = cut(own.join(readers, "tid", "left").select("tid", "fid", "subject", agreed.alias("p")))
         per = own.groupBy("tid", "subject").agg(F.sum("p").alias("c"))
-        mixture = per.join(per.groupBy("tid").agg(F.sum("c").alias("all")), "tid").select("tid", "subject", (F.col("c") / F.col("all")).alias("p"))
+        mixture = cut(per.join(per.groupBy("tid").agg(F.sum("c").alias("all")), "tid").select("tid", "subject", (F.col("c") / F.col("all")).alias("p")))
         rest = occurrences.join(placed.select("fid").distinct(), "fid", "left_anti").select("tid", "fid")
         # a sentence without a known term takes its document's subjects, each as likely as its terms are elsewhere
         hints = form_terms.join(placed.select("fid").distinct(), "fid", "left_anti").join(table, "term").groupBy("fid", "subject").agg(F.sum(F.col("lift") * F.col("share")).alias("hint"))
-        taken = rest.join(mixture, "tid").join(hints, ["fid", "subject"], "left").withColumn("p", F.col("p") * F.exp(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.coalesce("hint", F.lit(0.0))))))
+        taken = cut(rest.join(mixture, "tid").join(hints, ["fid", "subject"], "left").withColumn("p", F.col("p") * F.exp(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.coalesce("hint", F.lit(0.0)))))))
         whole = taken.groupBy("tid", "fid").agg(F.sum("p").alias("z"))
         lent = taken.join(whole, ["tid", "fid"]).groupBy("fid", "subject").agg(F.sum(F.lit(BORROWED) * F.col("p") / F.col("z")).alias("p"))
         given = own.groupBy("fid", "subject").agg(F.sum("p").alias("p"))
-        table = cut(_term_table(form_terms.join(given.unionByName(lent), "fid").select("term", "subject", "p").unionByName(note_mentions), _base(own)))
+        said = cut(given.unionByName(lent))
+        table = cut(_term_table(form_terms.join(said, "fid").select("term", "subject", "p").unionByName(note_mentions), _base(own)))
     return docs, occurrences, all_terms, table
 
 

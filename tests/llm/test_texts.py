@@ -122,6 +122,23 @@ def test_subjects_spread_from_labels(spark):
     assert not [d for d, _ in got if d in (500, 501, None)]
 
 
+def test_subjects_reach_words_three_documents_away_from_a_seed(spark):
+    rng, docs, labels, last = random.Random(11), [], [], set()
+    for k in ("sport", "law"):
+        hops = [[f"{k}{hop}{c}" for c in ("ab", "cd", "ef", "gh", "ij", "kl")] for hop in ("one", "two", "six", "ten")]
+        for hop in (-1, 0, 1, 2, 3):  # readers label documents of the first words alone
+            for _ in range(40):
+                said = [w for w in hops[max(hop, 0) : hop + 2] for _ in range(4)]
+                docs.append((len(docs), " ".join(f"The {rng.choice(w)} near {rng.choice(w)} was noted." for w in said)))
+                if hop == -1:
+                    labels.append((docs[-1][0], k, "r"))
+                if hop == 3:
+                    last.add((docs[-1][0], k))
+    area = spark.createDataFrame([("sport", "teams"), ("law", "courts")], "subject string, scope_note string")
+    got = {(r.doc_id, r.subject) for r in subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string"), area).collect()}
+    assert last <= got
+
+
 def test_sentences(spark):
     from pyspark.sql import functions as F
 
