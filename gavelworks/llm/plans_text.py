@@ -11,7 +11,7 @@ from gavelworks.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.turns(table(spark, folder, "cleaned_segments")).distinct()
+    return turns.turns(table(spark, folder, "cleaned_segments"))
 
 
 def _specs(spark: SparkSession, folder: str) -> DataFrame:

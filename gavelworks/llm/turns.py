@@ -1,12 +1,16 @@
 """Captions into speaker turns: tokens are tagged by a hidden Markov model, decoded by Viterbi, and assembled from the tags.
 
-The lexer cuts a text into words and marked spans (bracketed notes, times, tags). Each token becomes one of a few symbols by its
-form and surroundings; the model's emissions and transitions are counted on a bounded sample (SAMPLE_SEGMENTS) that is
-labelled by the forms that leave no doubt. Tags are speech, filler, time, note and speaker label.
+The lexer cuts a text into words and marked spans (bracketed notes, times, tags). A token's symbol is its form alone: an ordinary
+word, a capital word that no text has in lower case, a title, one of these before a colon, a dash and so on. Most forms leave it
+open what a token is: "Smith:" may open a turn or stand in a sentence, "Chair" may belong to a label or to speech, a dash may
+close a label or not. The states of the model say it (speech, speech that closes a sentence, filler, time, note, first, inner and
+last token of a label), and their order decides: a label follows the start, a mark or a closed sentence and ends with its mark.
+Start, transitions and emissions are fitted by expectation-maximisation on a bounded sample (SAMPLE_SEGMENTS) from a prior that
+only says which states may follow each other and which forms a state may have. Which words are ordinary is counted over all texts.
 
 Decoding is vectorised: distinct tokens are classified once per batch, and one Viterbi runs over all texts of like length.
-Turns are assembled in two steps, within stretches of BUCKET_S seconds of a video and then across them by one summary row per
-stretch, so that no task holds a whole video.
+Turns are assembled within stretches of BUCKET_S seconds of a video; only the first and last turn of a stretch can go on in
+another one, so that only these are moved again, and no task holds a whole video.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from gavelworks import storage
 
 #: The sample that the model is fitted on has at most so many segments.
 SAMPLE_SEGMENTS = 20_000
-#: A word is an ordinary one if the sample has it in lower case so many times.
-ORDINARY = 3
+#: A word is an ordinary one if texts have it in lower case so many times, and so often for each time that it stands where a name may.
+ORDINARY, ORDINARY_SHARE = 3, 0.02
 BUCKET_S = 600
 
 TITLES = "mr|mrs|ms|miss|dr|prof|professor|chair|chairman|chairwoman|chairperson|vice|trustee|president|dean|provost|chancellor|secretary|treasurer|member|director|hon|superintendent|clerk"
@@ -55,11 +59,37 @@ LEXER = "|".join(
         r"\S",
     ]
 )
-SPEECH, FILLER, CLOCK, NOTE, LABEL = range(5)
-TAGS = 5
-#: Symbols: ordinary word, hesitation, time, note or tag, label (certain), capital word before a colon (doubtful), hesitation written as an abbreviation, mark without letters.
-WORD, HUM, STAMP, MARKED, NAMED, HEADED, SHORT, MARK = range(8)
-SYMBOLS = 8
+#: States: speech, speech that closes a sentence, filler, time, note; of labels the first, an inner and the last token; one token that is a label and ends with its mark; a label in brackets.
+SPEECH, CLOSING, FILLER, CLOCK, NOTE, FIRST, INNER, LAST, ONLY, CALL = range(10)
+STATES = 10
+#: Symbols: ordinary word, word that ends a sentence, ordinary word with a colon; capital word, title, numbered speaker, each without and with a colon; the word "speaker";
+#: digits without and with a colon; dash; bracketed name; hesitation; hesitation written as an abbreviation, and the same in a text in capitals; time; note or tag; other mark without and with a full stop.
+WORD, END, HEAD, NAME, NAME_C, TITLE, TITLE_C, NUMBER, NUMBER_C, SPEAKER, DIGITS, DIGITS_C, DASH, NAMED, HUM, SHORT, SHORT_CAPS, STAMP, MARKED, MARK, MARK_END = range(21)
+SYMBOLS = 21
+#: The prior: which symbols a state may have, and its weight against the others'. What isn't named can't be.
+MAY_HAVE = {
+    SPEECH: {WORD: 20, NAME: 2, TITLE: 1, NUMBER: 0.02, SPEAKER: 0.2, DIGITS: 1, DASH: 0.2, SHORT: 0.1, SHORT_CAPS: 0.02},
+    CLOSING: {END: 10, HEAD: 1, MARK_END: 1, NAME_C: 0.1, TITLE_C: 0.05, NUMBER_C: 0.01, DIGITS_C: 0.2},
+    FILLER: {HUM: 20, SHORT: 0.02, SHORT_CAPS: 1},
+    CLOCK: {STAMP: 1},
+    NOTE: {MARKED: 4, MARK: 2, DASH: 1},
+    FIRST: {NAME: 2, TITLE: 4, NUMBER: 1, SPEAKER: 1},
+    INNER: {NAME: 4, TITLE: 1, DIGITS: 1},
+    LAST: {NAME_C: 8, TITLE_C: 1, DIGITS_C: 2, DASH: 1},
+    ONLY: {NAME_C: 4, TITLE_C: 1, NUMBER_C: 4},
+    CALL: {NAMED: 1},
+}
+#: Which state may follow: a label's tokens follow each other; a label opens rarely within a sentence.
+OPEN = {SPEECH: 8, CLOSING: 2, FILLER: 0.5, CLOCK: 0.5, NOTE: 0.5, FIRST: 0.5, ONLY: 0.3, CALL: 0.3}
+MAY_FOLLOW = {
+    **dict.fromkeys((CLOSING, FILLER, CLOCK, NOTE, LAST, ONLY, CALL), OPEN),
+    SPEECH: OPEN | {FIRST: 0.0005, ONLY: 0.0005},
+    FIRST: {INNER: 1, LAST: 3},
+    INNER: {INNER: 0.3, LAST: 3},
+}
+#: How many tokens of the sample the prior counts for, and rounds of fitting.
+PRIOR, FIT_ROUNDS = 200.0, 4
+NEVER = -1e4
 
 _HUM = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h*m+|a+h+m+|uh-?huh|mm+-?hm+)[.,…!?-]*", re.I)
 _STAMP = re.compile(rf"[\[<{{(]?\s*(?:{TIME}\s*-+>\s*{TIME}|\d{{1,2}}:\d\d:\d\d(?:[.,]\d+)?|\d{{1,2}}:\d\d[.,]\d{{3}})\s*[\]>}})]?")
@@ -73,13 +103,16 @@ NOBODY = {"", "unknown", "none", "null", "n/a", "na", "?", "unidentified", "unkn
 
 
 def unescape(c: Column) -> Column:
+    plain = c
     for a, b in (("&gt;", ">"), ("&lt;", "<"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.when(F.contains(plain, F.lit("&")), c).otherwise(plain)
 
 
 def lexed(c: Column) -> Column:
-    return F.regexp_extract_all(unescape(c), F.lit(f"({LEXER})"), 1)
+    """The tokens of a text. A text without any mark that the lexer knows is cut at blanks, which gives the same and costs less."""
+    text = unescape(c)
+    return F.when(text.rlike(r"[<>\[{♪*(\v\x1c-\x1f\x85\u2028\u2029]"), F.regexp_extract_all(text, F.lit(f"({LEXER})"), 1)).otherwise(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
 
 
 def who(label: str | None) -> str | None:
@@ -95,9 +128,44 @@ def who(label: str | None) -> str | None:
     return words[-1].strip(".,:").lower() if words else None
 
 
+def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
+    for s, w in OPEN.items():
+        start[s] = w
+    for a, b in MAY_FOLLOW.items():
+        move[a, list(b)] = list(b.values())
+    for s, x in MAY_HAVE.items():
+        emit[s, list(x)] = list(x.values())
+    return start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+
+
+def _log(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.log(np.maximum(p, 1e-300)), NEVER).astype(np.float32)
+
+
+#: Symbols without which a text is speech throughout: no label can end, and nothing else is there.
+_ODD = np.ones(SYMBOLS, bool)
+_ODD[[WORD, END, HEAD, NAME, TITLE, NUMBER, SPEAKER, DIGITS, SHORT, MARK, MARK_END]] = False
+
+
+def _groups(symbol: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts that need decoding, in groups of like length."""
+    odd = np.concatenate([[0], np.cumsum(_ODD[symbol])])
+    todo = np.flatnonzero(odd[ends] > odd[begins])
+    todo = todo[np.argsort((ends - begins)[todo], kind="stable")]
+    at = 0
+    while at < len(todo):
+        longest = (ends - begins)[todo[at]]
+        stop = at + 1
+        while stop < len(todo) and (ends - begins)[todo[stop]] <= longest * 1.25 + 4 and (stop - at) * longest < 200_000:
+            stop += 1
+        yield todo[at:stop]
+        at = stop
+
+
 @dataclass
 class Model:
-    """Log probabilities of the tag sequences, and the words that the sample shows in lower case."""
+    """Probabilities of start, transitions and emissions, the words that texts have in lower case, and those that follow the abbreviation ER."""
 
     start: np.ndarray
     move: np.ndarray
@@ -109,8 +177,8 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
-    def kind(self, token: str) -> tuple[int, int, str]:
-        """(symbol by form, role, words) of a token. Role: 1 may be part of a label, 2 ends one by a colon, 4 closes a sentence, 8 is a label by itself, 16 is in capitals."""
+    def kind(self, token: str) -> tuple[int, bool, str]:
+        """(symbol, whether it is in capitals, words) of a token, by its form alone."""
         got = self.cache.get(token)
         if got is None:
             if len(self.cache) > 500_000:
@@ -118,149 +186,141 @@ class Model:
             got = self.cache[token] = self._kind(token)
         return got
 
-    def _kind(self, token: str) -> tuple[int, int, str]:
+    def _kind(self, token: str) -> tuple[int, bool, str]:
         words = re.sub(r"[^a-z0-9]+", " ", token.lower()).strip()
         first, inner = token[0], token.strip("[](){}<>:♪* ")
         if _STAMP.fullmatch(token) or (first in "[<{(" and _BRACKETED.fullmatch(token)):
-            return STAMP, 0, ""
+            return STAMP, False, ""
         if first == "<":
-            if token[1:3].lower() == "v " and who(token[3:-1]):
-                return NAMED, 8, ""
-            return MARKED, 0, ""
+            return (NAMED if token[1:3].lower() == "v " and who(token[3:-1]) else MARKED), False, ""
         if first in "[{" and len(token) > 1 or token[:2] == "((":
             single = _NAME.fullmatch(inner) and not _SOUND.search(inner) and inner.lower() not in self.ordinary
             if _NUMBERED.fullmatch(inner) or (_TITLED.fullmatch(inner) and not _SOUND.search(inner)) or (single and inner.lower() not in NOBODY):
-                return NAMED, 8, ""
-            return MARKED, 0, ""
+                return NAMED, False, ""
+            return MARKED, False, ""
         if first == "(" and token.rstrip(":")[-1] == ")":
             if _NUMBERED.fullmatch(inner) or _TITLED.fullmatch(inner):
-                return NAMED, 8, ""
+                return NAMED, False, ""
             if _TITLE.fullmatch(inner):
-                return WORD, 1 | 2 * token.endswith(":"), words
+                return (TITLE_C if token.endswith(":") else TITLE), False, words
             if _SOUND.search(inner):
-                return MARKED, 0, ""
+                return MARKED, False, ""
         if first in "♪*" and len(token) > 1 or token[:2] == ">>":
-            return MARKED, 0, ""
+            return MARKED, False, ""
         if not words:
-            return MARK, 4 * (token[-1] in ".?!"), ""
-        capital = 16 * (token.upper() == token and any(c.isalpha() for c in token))
+            return (DASH if token in ("-", "–", "—") else MARK_END if token[-1] in ".?!" else MARK), False, ""
+        capital = token.upper() == token and any(c.isalpha() for c in token)
         if _HUM.fullmatch(token):
             return (SHORT if token == "ER" else HUM), capital, words
         bare = token.rstrip(":")
-        colon = 2 * (bare != token)
-        title = bool(_TITLE.fullmatch(bare))
-        numbered = bool(_NUMBERED.fullmatch(bare)) and (len(bare) > 1 and not bare.isdigit())
-        named = bool(_NAME.fullmatch(bare)) and bare.strip(".'’-").lower() not in self.ordinary
-        digits = bool(colon and re.fullmatch(r"#?\d+", bare))
-        lower = bool(colon and re.fullmatch(r"[a-z'’-]{3,}", bare) and bare not in self.ordinary)
-        return WORD, (title or numbered or named or digits or lower) | colon | 4 * (token[-1] in ".?!" and not title) | capital | 32 * title | 64 * numbered | 128 * digits, words
-
-    def symbols(self, tokens: list[str], of: np.ndarray, begins: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, label run) of each token; codes are indexes into the distinct tokens, of is each token's text."""
+        colon = int(bare != token)
+        if _TITLE.fullmatch(bare):
+            return TITLE + colon, capital, words
+        if not colon and bare.lower() in ("speaker", "spk"):
+            return SPEAKER, capital, words
+        if re.fullmatch(r"#?\d+", bare):
+            return DIGITS + colon, capital, words
+        if _NUMBERED.fullmatch(bare):
+            return NUMBER + colon, capital, words
+        if token[-1] in ".?!":
+            return END, capital, words
+        if _NAME.fullmatch(bare) and bare.strip(".'’-").lower() not in self.ordinary:
+            return NAME + colon, capital, words
+        if colon and re.fullmatch(r"[a-z'’-]{3,}", bare) and bare not in self.ordinary:
+            return NAME_C, capital, words
+        return (HEAD if colon else WORD), capital, words
+
+    def symbols(self, tokens: list[str], begins: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The symbol of each token; codes are indexes into the distinct tokens, texts are codes[begins[i]:ends[i]]."""
         known = [self.kind(t) for t in tokens]
-        form = np.fromiter((k[0] for k in known), np.int8, len(known))[codes]
-        role = np.fromiter((k[1] for k in known), np.int16, len(known))[codes]
-        symbol, run = form.copy(), np.full(len(codes), -1, np.int64)
-        first = np.zeros(len(codes), bool)
-        first[begins] = True
-        for i in np.flatnonzero((role & 2) > 0):
-            j, name = i, bool(role[i] & 1)
-            while name and not first[j] and i - j < 4 and role[j - 1] & 1 and not role[j - 1] & (2 | 4) and form[j - 1] == WORD:
-                j -= 1
-            before = first[j] or form[j - 1] != WORD or role[j - 1] & 4 or role[j - 1] & 2
-            if name and role[i] & 128:  # a number before the colon: only "Speaker 3:" is a label
-                name = j < i and tokens[codes[i - 1]].lower() in ("speaker", "spk")
-                j = i - 1 if name else i
-                before = first[j] or form[j - 1] != WORD or role[j - 1] & 4
-            if not name and role[i] & 128 and not first[i] and tokens[codes[i - 1]].lower() == "speaker":
-                name, j = True, i - 1
-                before = first[j] or form[j - 1] != WORD or role[j - 1] & 4
-            if name and before:
-                symbol[j : i + 1] = NAMED
-                run[j : i + 1] = i
-            elif before:
-                symbol[i] = HEADED
-        dash = np.fromiter((t in ("-", "–", "—") for t in tokens), bool, len(tokens))[codes]
-        for i in np.flatnonzero(dash & ~first):
-            j, sure = i, False
-            if i - 2 >= 0 and not first[i - 1] and tokens[codes[i - 1]].isdigit() and tokens[codes[i - 2]].lower() == "speaker":
-                j, sure = i - 2, True
-            else:
-                while not first[j] and i - j < 4 and role[j - 1] & 1 and not role[j - 1] & (2 | 4) and form[j - 1] == WORD:
-                    j -= 1
-                    sure = sure or bool(role[j] & (32 | 64)) or first[j]
-            if sure and j < i and (first[j] or form[j - 1] != WORD or role[j - 1] & 4):
-                symbol[j : i + 1] = NAMED
-                run[j : i + 1] = i
-        alone = np.flatnonzero((role & 8) > 0)
-        run[alone] = alone
-        for i in np.flatnonzero(symbol == SHORT):
-            after = tokens[codes[i + 1]].lower().strip(".,;:") if i + 1 < len(codes) and not first[i + 1] else ""
-            lo, hi = np.searchsorted(of, of[i]), np.searchsorted(of, of[i], "right")
-            letters = role[lo:hi][form[lo:hi] == WORD]
-            shouted = len(letters) > 0 and bool((letters & 16).all())
-            symbol[i] = WORD if after in self.after_short or not shouted else HUM
-        return symbol, run
+        symbol = np.fromiter((k[0] for k in known), np.int8, len(known))[codes]
+        short = np.flatnonzero(symbol == SHORT)
+        for i, text in zip(short.tolist(), (np.searchsorted(begins, short, "right") - 1).tolist(), strict=True):
+            after = tokens[codes[i + 1]].lower().strip(".,;:") if i + 1 < ends[text] else ""
+            lettered = [known[c][1] for c in codes[begins[text] : ends[text]] if known[c][0] <= TITLE_C]
+            if lettered and all(lettered) and after not in self.after_short:
+                symbol[i] = SHORT_CAPS
+        return symbol
 
     def decode(self, symbol: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The likeliest tags of each text (tokens begins[i]:ends[i]). Texts of ordinary words only are speech throughout."""
-        tags = np.zeros(len(symbol), np.int8)
-        odd = np.concatenate([[0], np.cumsum(symbol != WORD)])
-        todo = np.flatnonzero(odd[ends] > odd[begins])
-        length = (ends - begins)[todo]
-        todo = todo[np.argsort(length, kind="stable")]
-        at = 0
-        while at < len(todo):
-            longest = (ends - begins)[todo[at]]
-            stop = at + 1
-            while stop < len(todo) and (ends - begins)[todo[stop]] <= longest * 1.25 + 4 and (stop - at) * longest < 400_000:
-                stop += 1
-            group = todo[at:stop]
+        """The likeliest states of each text (tokens begins[i]:ends[i])."""
+        start, move, emit = _log(self.start), _log(self.move), _log(self.emit)
+        tags = np.where(np.isin(symbol, (END, HEAD, MARK_END)), CLOSING, SPEECH).astype(np.int8)
+        for group in _groups(symbol, begins, ends):
             n, b = (ends - begins)[group], begins[group]
             steps = int(n.max())
-            score = self.start + self.emit[:, symbol[b]].T
-            back = np.zeros((steps, len(group), TAGS), np.int8)
+            score = start + emit[:, symbol[b]].T
+            back = np.zeros((steps, len(group), STATES), np.int8)
             for t in range(1, steps):
                 live = t < n
-                step = score[:, :, None] + self.move[None]
+                step = score[:, :, None] + move[None]
                 back[t] = step.argmax(1)
                 here = symbol[np.minimum(b + t, len(symbol) - 1)]
-                new = np.take_along_axis(step, back[t][:, None, :].astype(np.int64), 1)[:, 0] + self.emit[:, here].T
-                score = np.where(live[:, None], new, score)
+                score = np.where(live[:, None], step.max(1) + emit[:, here].T, score)
+            score[:, [FIRST, INNER]] = NEVER * 100  # a label that is begun is ended
             state = score.argmax(1)
             for t in range(steps - 1, -1, -1):
                 live = t < n
                 tags[(b + t)[live]] = state[live]
                 if t:
                     state = np.where(live, back[t][np.arange(len(group)), state], state)
-            at = stop
         return tags
 
-
-def fit(texts: list[list[str]]) -> Model:
-    """A model counted on lexed texts: the tag of a symbol that leaves no doubt is its own, a doubtful one's is speech."""
-    lower, short = Counter(), Counter()
-    for tokens in texts:
-        for a, b in zip(tokens, [*tokens[1:], ""], strict=True):
-            if a[:1].islower():
-                lower[a.strip(".,;:?!'\"()’")] += 1
-            if a == "ER" and b[:1].islower():
-                short[b.strip(".,;:?!").lower()] += 1
-    ordinary = frozenset(w for w, n in lower.items() if n >= ORDINARY)
-    flat = np.zeros((TAGS, SYMBOLS))
-    model = Model(np.zeros(TAGS), np.zeros((TAGS, TAGS)), flat, ordinary, frozenset(short))
-    tag_of = np.array([SPEECH, FILLER, CLOCK, NOTE, LABEL, SPEECH, FILLER, NOTE])
-    start, move, emit = np.ones(TAGS), np.ones((TAGS, TAGS)), np.full((TAGS, SYMBOLS), 1e-3)
-    np.add.at(emit, (tag_of, np.arange(SYMBOLS)), 1)  # so that a small sample does
-    for tokens in texts:
-        if not tokens:
-            continue
-        symbol, _ = model.symbols(tokens, np.zeros(len(tokens), np.int64), np.array([0]), np.arange(len(tokens)))
-        tag = tag_of[symbol]
-        start[tag[0]] += 1
-        np.add.at(move, (tag[:-1], tag[1:]), 1)
-        np.add.at(emit, (tag, symbol), 1)
-    model.start, model.move, model.emit = np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True))
+    def expected(self, symbol: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, transitions and emissions in the texts, by the forward-backward algorithm."""
+        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
+        for group in _groups(symbol, begins, ends):
+            n, b = (ends - begins)[group], begins[group]
+            steps, every = int(n.max()), np.arange(len(group))
+            forward, chance = np.zeros((steps, len(group), STATES)), np.zeros((steps, len(group), STATES))
+            for t in range(steps):
+                chance[t] = self.emit[:, symbol[np.minimum(b + t, len(symbol) - 1)]].T
+                now = (self.start if t == 0 else forward[t - 1] @ self.move) * chance[t]
+                total = now.sum(1, keepdims=True)
+                forward[t] = np.where((t < n)[:, None] & (total > 0), now / np.maximum(total, 1e-300), 0)
+            back = np.zeros((len(group), STATES))
+            for t in range(steps - 1, -1, -1):
+                final = np.ones(STATES)
+                final[[FIRST, INNER]] = 0
+                back = np.where((t == n - 1)[:, None], final, back)
+                post = forward[t] * back
+                total = post.sum(1, keepdims=True)
+                post = np.where(total > 0, post / np.maximum(total, 1e-300), 0)
+                live = every[t < n]
+                np.add.at(emit.T, symbol[b[live] + t], post[live])
+                if t == 0:
+                    start += post.sum(0)
+                else:
+                    ahead = chance[t] * back
+                    pair = forward[t - 1][:, :, None] * self.move[None] * ahead[:, None, :]
+                    whole = pair.sum((1, 2), keepdims=True)
+                    move += np.where((t < n)[:, None, None] & (whole > 0), pair / np.maximum(whole, 1e-300), 0).sum(0)
+                    prior = ahead @ self.move.T
+                    back = np.where((t < n)[:, None], prior / np.maximum(prior.sum(1, keepdims=True), 1e-300), back)
+        return start, move, emit
+
+
+def fit(texts: list[list[str]], ordinary: frozenset[str] | None = None, after_short: frozenset[str] | None = None, rounds: int = FIT_ROUNDS) -> Model:
+    """A model fitted on lexed texts by expectation-maximisation, from the prior. Without lexicons they are counted on the texts."""
+    if ordinary is None:
+        lower = Counter(t.strip(".,;:?!'\"()’") for tokens in texts for t in tokens if t[:1].islower())
+        ordinary = frozenset(w for w, n in lower.items() if n >= ORDINARY)
+    if after_short is None:
+        after_short = frozenset(b.strip(".,;:?!").lower() for tokens in texts for a, b in zip(tokens, tokens[1:], strict=False) if a == "ER" and b[:1].islower())
+    prior = _prior()
+    model = Model(*prior, ordinary, after_short)
+    texts = [t for t in texts if t]
+    if not texts:
+        return model
+    index: dict[str, int] = {}
+    codes = np.array([index.setdefault(t, len(index)) for tokens in texts for t in tokens])
+    ends = np.cumsum([len(t) for t in texts])
+    begins = np.concatenate([[0], ends[:-1]])
+    symbol = model.symbols(list(index), begins, ends, codes)
+    for _ in range(rounds):
+        counts = model.expected(symbol, begins, ends)
+        start, move, emit = (c + PRIOR * p / (1 if p.ndim == 1 else len(p)) for c, p in zip(counts, prior, strict=True))
+        model.start, model.move, model.emit = start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
     return model
 
 
@@ -288,12 +348,12 @@ def _tagger(model: Model):
             codes, tokens = np.asarray(flat.indices), flat.dictionary.to_pylist()
             begins, ends = offsets[:-1], offsets[1:]
             of = np.repeat(np.arange(batch.num_rows), ends - begins)
-            full = begins[ends > begins]
-            symbol, label = model.symbols(tokens, of, full, codes)
+            full = np.flatnonzero(ends > begins)
+            symbol = model.symbols(tokens, begins[full], ends[full], codes)
             tags = model.decode(symbol, begins, ends)
             # where a label begins, a piece begins; each segment begins with a piece, too
-            said = tags == LABEL
-            fresh = said & (label >= 0) & (label != np.concatenate([[-2], label[:-1]]))
+            fresh = (tags == FIRST) | (tags == ONLY) | (tags == CALL)
+            label = np.where(tags >= FIRST, np.cumsum(fresh), -1)
             piece_starts = np.concatenate([begins, np.flatnonzero(fresh)])
             owner = np.concatenate([np.arange(batch.num_rows), of[fresh]])
             labelled = np.concatenate([np.zeros(batch.num_rows, bool), np.ones(int(fresh.sum()), bool)])
@@ -302,7 +362,7 @@ def _tagger(model: Model):
             # words of each piece
             clean = pa.array([model.kind(t)[2] for t in tokens], pa.string())
             has = np.fromiter((bool(model.kind(t)[2]) for t in tokens), bool, len(tokens))
-            keep = np.flatnonzero((tags == SPEECH) & has[codes]) if len(codes) else np.zeros(0, np.int64)
+            keep = np.flatnonzero((tags <= CLOSING) & has[codes]) if len(codes) else np.zeros(0, np.int64)
             word_at = np.searchsorted(keep, piece_starts)
             bounds = np.append(word_at, len(keep))
             words = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), clean.take(pa.array(codes[keep]))), " ")
@@ -349,9 +409,26 @@ def _tagger(model: Model):
     return run
 
 
+def lexicons(segments: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """(ordinary words, words after the abbreviation ER), counted over all texts.
+
+    Ordinary are the words that stand where a name may (in capitals before a colon or dash, or alone in brackets) and that texts
+    have in lower case, too. Names hardly ever are, so what comes to the driver grows with the vocabulary and not with the speakers.
+    """
+    own = segments.select(F.col("text").alias("t")).where("text is not null")
+    chains = F.concat(F.regexp_extract_all("t", F.lit(r"((?:[A-Za-z][\w'’.-]*\s+){0,3}[A-Za-z][\w'’-]*)(?::| +[-–—] )"), 1), F.regexp_extract_all("t", F.lit(r"[\[{]\s*([A-Z][a-z'’-]+)\s*[\]}]"), 1))
+    heads = own.where(F.col("t").rlike(r"[A-Za-z]:| [-–—] |[\[{]\s*[A-Z]")).select(F.explode(chains).alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w"))
+    heads = heads.select(F.regexp_replace("w", r"^[.'’-]+|[.'’-]+$", "").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("as_head"))
+    words = own.select(F.explode(F.split("t", r"[\s,;.?!()\"]+")).alias("w")).where(F.col("w").rlike("^[a-z][a-z'’-]*$")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= ORDINARY)
+    ordinary = heads.join(words.hint("merge"), "w").where(F.col("n") >= ORDINARY_SHARE * F.col("as_head")).select("w")
+    after = own.where(F.col("t").contains("ER ")).select(F.explode(F.regexp_extract_all("t", F.lit(r"\bER ([a-z'’-]+)"), 1)).alias("w")).distinct()
+    got = ordinary.withColumn("k", F.lit(0)).unionByName(after.withColumn("k", F.lit(1))).collect()
+    return frozenset(w for w, k in got if not k), frozenset(w for w, k in got if k and w.strip("-") and not _HUM.fullmatch(w))
+
+
 def sample_texts(segments: DataFrame, most: int = SAMPLE_SEGMENTS) -> list[list[str]]:
     """The lexed texts of at most `most` segments, chosen by a hash of their ids."""
-    share = min(1.0, 1.5 * most / max(1, segments.count()))
+    share = min(1.0, 0.98 * most / max(1, segments.count()))
     chosen = segments.where(F.pmod(F.xxhash64("segment_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else segments
     return [r[0] or [] for r in chosen.select(lexed(F.col("text"))).limit(most).collect()]
 
@@ -361,48 +438,64 @@ def pieces(segments: DataFrame, model: Model) -> DataFrame:
     return own.mapInArrow(_tagger(model), "video_id string, start double, segment_id long, piece int, speaker string, labelled boolean, words string")
 
 
+def _in_order(*position: str) -> Column:
+    """The spoken words of a group, in the order of position."""
+    said = F.collect_list(F.when(F.col("words") != "", F.struct(*position, "words")))
+    return F.array_join(F.transform(F.array_sort(said), lambda x: x["words"]), " ")
+
+
 def turns(segments: DataFrame, model: Model | None = None) -> DataFrame:
-    """(video_id, start_sec, speaker, turn_words) of each turn of segments (video_id, segment_id, start_time, end_time, speaker, text).
+    """(video_id, start_sec, speaker, turn_words) of the distinct turns of segments (video_id, segment_id, start_time, end_time, speaker, text).
 
     Repeated segments count once; segments that start together are ordered by id. A null start is the first time in the text,
     else the end; without either the segment comes last. Null, blank and wordless texts give no turn and end none. Speech
     before any speaker is known has the speaker "". Segments without a video id are one video.
     """
     if model is None:
-        model = fit(sample_texts(segments))
-    cut = pieces(segments, model).withColumn("bucket", F.floor(F.col("start") / BUCKET_S))
-    local = W.partitionBy("video_id", "bucket").orderBy("start", "segment_id", "piece")
+        model = fit(sample_texts(segments), *lexicons(segments))
+    parts = pieces(segments, model).withColumn("bucket", F.floor(F.col("start") / BUCKET_S))
+    stretch = W.partitionBy("video_id", "bucket")
+    local = stretch.orderBy("start", "segment_id", "piece")
     same = (F.lag("segment_id").over(local) == F.col("segment_id")) & (F.lag("piece").over(local) == F.col("piece"))
-    once = cut.withColumn("again", F.coalesce(same, F.lit(False))).where("not again")
-    heard = F.when(F.col("labelled") | (F.col("words") != ""), F.col("speaker"))
-    filled = once.withColumn("by", F.last(heard, ignorenulls=True).over(local))
-    change = F.when(F.col("by").eqNullSafe(F.lag("by").over(local)) & (F.row_number().over(local) > 1), 0).otherwise(1)
-    runs = filled.withColumn("change", change).withColumn("run", F.sum("change").over(local))
+    once = parts.withColumn("again", F.coalesce(same, F.lit(False))).where("not again")
     spoken = F.col("words") != ""
-    grouped = runs.groupBy("video_id", "bucket", "run", "by").agg(
-        F.min(F.when(spoken, F.col("start"))).alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(spoken, F.struct("start", "segment_id", "piece", "words")))), lambda x: x["words"]), " ").alias("words"),
-    )
-    islands = storage.keep(grouped)  # read by both branches below, which would tag every text twice
-    # what each stretch hands on: the last speaker it names
-    across = W.partitionBy("video_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    inner = W.partitionBy("video_id", "bucket").orderBy("run")
-    named = islands.groupBy("video_id", "bucket").agg(F.max_by("by", F.when(F.col("by").isNotNull(), F.col("run"))).alias("ending"))
-    carry = named.select(F.col("video_id").alias("v2"), F.col("bucket").alias("b2"), F.last("ending", ignorenulls=True).over(across).alias("carry"))
-    known = islands.join(carry, F.col("video_id").eqNullSafe(F.col("v2")) & (F.col("bucket") == F.col("b2"))).select(
-        "video_id", "bucket", "run", "start", "words", F.coalesce("by", "carry", F.lit("")).alias("speaker")
+    heard = F.when(F.col("labelled") | spoken, F.col("speaker"))
+    filled = once.withColumn("by", F.last(heard, ignorenulls=True).over(local)).withColumn("place", F.row_number().over(local))
+    said_by = F.last(F.when(spoken, F.struct("by")), ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, -1))
+    filled = filled.withColumn("before", said_by).withColumn("ending", F.last("by", ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    opens = (spoken & (F.col("before").isNull() | ~F.col("before.by").eqNullSafe(F.col("by")))).cast("int")
+    numbered = filled.withColumn("nth", F.sum(opens).over(local)).where(spoken | (F.col("place") == 1))  # the first piece says how the stretch ends, even if nobody speaks
+    islands = numbered.groupBy("video_id", "bucket", "nth").agg(
+        F.max(F.when(spoken, F.col("by"))).alias("by"), F.max("ending").alias("ending"), F.min(F.when(spoken, F.col("start"))).alias("start"), _in_order("start", "segment_id", "piece").alias("words")
     )
-    voiced = known.where("words <> ''").withColumn("before", F.lag("speaker").over(inner))
-    voiced = voiced.withColumn("opens", F.when(F.col("before").isNull() | (F.col("before") != F.col("speaker")), 1).otherwise(0)).withColumn("nth", F.sum("opens").over(inner))
-    ends = voiced.groupBy("video_id", "bucket").agg(F.max_by("speaker", "run").alias("last"), F.min_by("speaker", "run").alias("first"), F.max("nth").alias("n"))
-    joined = F.when(F.col("first") == F.lag("last").over(W.partitionBy("video_id").orderBy("bucket")), 1).otherwise(0)
-    offset = ends.withColumn("joined", joined).select(
-        F.col("video_id").alias("v2"), F.col("bucket").alias("b2"), (F.coalesce(F.sum(F.col("n") - F.col("joined")).over(across), F.lit(0)) - F.col("joined")).alias("offset")
+    # the first and last turn of a stretch may go on in others; those that begin in one second may be equal
+    turn = stretch.orderBy("nth")
+    last = F.max("nth").over(stretch)
+    sec = F.floor("start").cast("long")
+    edge = (F.col("nth") <= 1) | (F.col("nth") == F.col("n")) | ((F.col("nth") == 2) & F.col("after_nobody"))
+    twin = F.coalesce(F.col("sec") == F.lag("sec").over(turn), F.lit(False)) | F.coalesce(F.col("sec") == F.lead("sec").over(turn), F.lit(False))
+    marked = islands.withColumn("n", last).withColumn("sec", sec).withColumn("after_nobody", F.coalesce(F.lag("by").over(turn).isNull() & (F.col("nth") == 2), F.lit(False)))
+    marked = marked.withColumn("twin", twin).withColumn("edge", edge)
+    kept = storage.keep(marked.drop("after_nobody"))  # read by several branches below, which would tag every text again
+    plain = kept.where("not edge and not twin").select("video_id", F.col("sec").alias("start_sec"), F.col("by").alias("speaker"), F.col("words").alias("turn_words"))
+    twins = kept.where("not edge and twin").select("video_id", F.col("sec").alias("start_sec"), F.col("by").alias("speaker"), F.col("words").alias("turn_words"))
+    edges = kept.where("edge")
+    # one row per stretch: its first, second and last speaker, and whom it hands on
+    ends = edges.groupBy("video_id", "bucket").agg(
+        F.max("ending").alias("ending"), F.max("n").alias("n"), F.max(F.when(F.col("nth") == 1, F.col("by"))).alias("one"), F.max(F.when(F.col("nth") == 2, F.col("by"))).alias("two"), F.max_by("by", "nth").alias("final")
     )
-    placed = voiced.join(offset, F.col("video_id").eqNullSafe(F.col("v2")) & (F.col("bucket") == F.col("b2"))).select(
-        "video_id", "bucket", "run", "start", "words", "speaker", (F.col("nth") + F.col("offset")).alias("turn")
+    across = W.partitionBy("video_id").orderBy("bucket")
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("carry", F.coalesce(F.last("ending", ignorenulls=True).over(earlier), F.lit(""))).where("n > 0")
+    carried = carried.withColumn("merged", F.coalesce(F.col("one").isNull() & (F.col("two") == F.col("carry")), F.lit(False)).cast("int"))
+    carried = carried.withColumn("opening", F.coalesce("one", "carry")).withColumn("closing", F.when(F.col("n") == 1, F.coalesce("one", "carry")).otherwise(F.col("final")))
+    carried = carried.withColumn("joined", F.when(F.col("opening") == F.lag("closing").over(across), 1).otherwise(0))
+    offset = carried.select(
+        F.col("video_id").alias("v2"), F.col("bucket").alias("b2"), "opening", "merged", (F.coalesce(F.sum(F.col("n") - F.col("merged") - F.col("joined")).over(earlier), F.lit(0)) - F.col("joined")).alias("offset")
     )
-    whole = placed.groupBy("video_id", "turn", "speaker").agg(
-        F.min("start").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "run", "words"))), lambda x: x["words"]), " ").alias("turn_words")
+    placed = edges.where("nth > 0").join(offset, F.col("video_id").eqNullSafe(F.col("v2")) & (F.col("bucket") == F.col("b2"))).select(
+        "video_id", "bucket", "nth", "start", "words", F.coalesce("by", "opening").alias("speaker"), (F.col("nth") + F.col("offset") - F.when(F.col("nth") > 1, F.col("merged")).otherwise(0)).alias("turn")
     )
-    return whole.select("video_id", F.floor("start").cast("long").alias("start_sec"), "speaker", "turn_words")
+    whole = placed.groupBy("video_id", "turn", "speaker").agg(F.min("start").alias("start"), _in_order("bucket", "nth").alias("turn_words"))
+    crossing = whole.select("video_id", F.floor("start").cast("long").alias("start_sec"), "speaker", "turn_words")
+    return plain.unionByName(crossing.unionByName(twins).distinct())

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from gavelworks.llm import mixing, packing, subjects, tokens, turns
 
 SEGMENTS = "segment_id long, video_id string, start_time double, end_time double, text string, speaker string, words string"
@@ -36,6 +38,37 @@ def test_labels_times_notes_and_fillers(spark):
     assert sorted(turns_of(spark, rows)) == sorted(want)
 
 
+def test_labels_are_told_from_speech_by_the_order_of_states(spark):
+    plain = ["we met with the chair and the dean of arts today.", "so the speaker of the house - a member - said yes.", "thank you all for the note, motion and item."]
+    said = [f"{a} {b}: {c}" for a, b in (("Trustee", "Gairmane"), ("Dean", "Zufan"), ("Chair", "Taumon")) for c in plain] + [f"Speaker {i} - {c}" for i in (3, 11) for c in plain] + [f"{c} Zibow: aye." for c in plain]
+    model = turns.fit([t.split() for t in (plain + said) * 10])
+    cases = {  # the labels' tokens
+        "we met with Trustee Gairmane and Dean Zufan": [],
+        "Dean Zufan: we met Trustee Taumon - a chair": [0, 1],
+        "Speaker 3 - the chair - a member - said yes": [0, 1, 2],
+        "we met today. Taumon: thank the Speaker 3 all": [3],
+        "the chair said so. Chair Gairmane: yes": [4, 5],
+    }
+
+    def labels(m, text):
+        tokens = text.split()
+        codes = np.arange(len(tokens))
+        begins, ends = np.array([0]), np.array([len(tokens)])
+        return np.flatnonzero(m.decode(m.symbols(tokens, begins, ends, codes), begins, ends) >= turns.FIRST).tolist()
+
+    assert {t: labels(model, t) for t in cases} == cases
+    free = turns.Model(np.full_like(model.start, 0.1), np.full_like(model.move, 0.1), model.emit, model.ordinary, model.after_short)
+    assert sum(labels(free, t) != at for t, at in cases.items()) >= 4  # without the order of states
+
+
+def test_a_cheap_cut_gives_the_tokens_of_the_lexer(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a  plain text: it's - 7:30 p.m. ok.", " (laughter) b", "", "x &amp; y &lt;i&gt;z", "[0:46] > c"]
+    lexer = F.regexp_extract_all(turns.unescape(F.col("t")), F.lit(f"({turns.LEXER})"), 1)
+    assert all(a == b for a, b in spark.createDataFrame([(t,) for t in texts], "t string").select(turns.lexed(F.col("t")), lexer).collect())
+
+
 def test_turns_of_nothing_and_of_long_texts(spark):
     assert turns.turns(spark.createDataFrame([], SEGMENTS), turns.fit([])).count() == 0
     long = "word " * 20000
