@@ -283,7 +283,7 @@ def _frequent(words: DataFrame, share: float) -> list[tuple]:
     return [tuple(r) for r in words.groupBy(*words.columns).count().where(F.col("count") >= max(2, share * total)).collect()]
 
 
-def _spared(words: Column) -> Column:
+def spared(words: Column) -> Column:
     """The distinct words that are left when one letter of one of the words is taken out."""
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w)))))))
 
@@ -302,9 +302,9 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     key = ["scope", "kind"]
     n = F.length("token")
     k = F.when(n < 6, F.when(F.col("kind") == "person", 2).otherwise(1)).when(n < 10, 2).otherwise(3)
-    one = _spared(F.array("token"))
-    two = _spared(one)
-    left_over = F.concat(F.array("token"), one, F.when(k > 1, two).otherwise(F.array().cast("array<string>")), F.when(k > 2, _spared(two)).otherwise(F.array().cast("array<string>")))
+    one = spared(F.array("token"))
+    two = spared(one)
+    left_over = F.concat(F.array("token"), one, F.when(k > 1, two).otherwise(F.array().cast("array<string>")), F.when(k > 2, spared(two)).otherwise(F.array().cast("array<string>")))
     short = tokens.where((n >= 4) & (n < LONG)).select(*key, "token", F.explode(left_over).alias("part"))
     padded = F.concat(F.lit("^" * (Q - 1)), F.col("token"), F.lit("$" * (Q - 1)))
     # a pair with one word below LONG and one not below is among these too

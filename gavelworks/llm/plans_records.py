@@ -48,10 +48,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Every typed value with its rows, the code it was mapped to and the score; the unmatched ones are the report."""
+    """Every typed value with its rows, the code it was mapped to, the score and the way there; the unmatched ones are the report."""
     rows, reference = _typed_categories(spark, folder)
     counted = rows.groupBy("list", "value").agg(F.count("*").alias("n_rows"))
-    return canonical.map_values(rows, reference).join(counted, ["list", "value"]).select(F.col("list").alias("src_table"), "value", "code", "score", "n_rows")
+    return canonical.map_values(rows, reference).join(counted, ["list", "value"]).select(F.col("list").alias("src_table"), "value", "code", "score", "way", "n_rows")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
