@@ -417,9 +417,11 @@ def lexicons(segments: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """
     own = segments.select(F.col("text").alias("t")).where("text is not null")
     chains = F.concat(F.regexp_extract_all("t", F.lit(r"((?:[A-Za-z][\w'’.-]*\s+){0,3}[A-Za-z][\w'’-]*)(?::| +[-–—] )"), 1), F.regexp_extract_all("t", F.lit(r"[\[{]\s*([A-Z][a-z'’-]+)\s*[\]}]"), 1))
-    heads = own.where(F.col("t").rlike(r"[A-Za-z]:| [-–—] |[\[{]\s*[A-Z]")).select(F.explode(chains).alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w"))
+    marked = F.greatest(*[F.contains("t", F.lit(m)) for m in (":", " - ", " – ", " — ", "[", "{")])
+    heads = own.where(marked).select(F.explode(chains).alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w"))
     heads = heads.select(F.regexp_replace("w", r"^[.'’-]+|[.'’-]+$", "").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("as_head"))
-    words = own.select(F.explode(F.split("t", r"[\s,;.?!()\"]+")).alias("w")).where(F.col("w").rlike("^[a-z][a-z'’-]*$")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= ORDINARY)
+    bare = F.btrim("w", F.lit(",;.?!'\"()’")).alias("w")  # no patterns here: this reads every word
+    words = own.select(F.explode(F.split("t", " ")).alias("w")).select(bare).where("w >= 'a' and w < '{'").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= ORDINARY)
     ordinary = heads.join(words.hint("merge"), "w").where(F.col("n") >= ORDINARY_SHARE * F.col("as_head")).select("w")
     after = own.where(F.col("t").contains("ER ")).select(F.explode(F.regexp_extract_all("t", F.lit(r"\bER ([a-z'’-]+)"), 1)).alias("w")).distinct()
     got = ordinary.withColumn("k", F.lit(0)).unionByName(after.withColumn("k", F.lit(1))).collect()
