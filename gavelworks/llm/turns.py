@@ -31,7 +31,7 @@ from gavelworks import storage
 
 #: The sample that the model is fitted on has at most so many segments.
 SAMPLE_SEGMENTS = 20_000
-#: A word is an ordinary one if texts have it in lower case so many times, and so often for each time that it stands where a name may.
+#: A word is an ordinary one if texts have it in lower case so many times, and so often for each time that it has a capital or a colon.
 ORDINARY, ORDINARY_SHARE = 3, 0.02
 BUCKET_S = 600
 
@@ -409,23 +409,33 @@ def _tagger(model: Model):
     return run
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, lower, capital, after) per batch: how often a word stands in lower case, with a capital or before a colon, and after the abbreviation ER."""
+    for batch in batches:
+        text = batch.column(0)
+        found: dict[str, list[int]] = {}
+        counted = pc.utf8_split_whitespace(text).flatten().value_counts()
+        for w, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist(), strict=True):
+            bare = w.strip(",;.?!:'\"()[]{}<>’-")
+            if bare[:1].isalpha():
+                found.setdefault(bare.lower(), [0, 0, 0])[not bare[0].islower() or w[-1] == ":"] += n
+        for t in text.filter(pc.match_substring(text, "ER ")).to_pylist():
+            for w in re.findall(r"\bER ([a-z'’-]+)", t):
+                found.setdefault(w, [0, 0, 0])[2] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([c[i] for c in found.values()], pa.int64()) for i in range(3)]], ["w", "lower", "capital", "after"])
+
+
 def lexicons(segments: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """(ordinary words, words after the abbreviation ER), counted over all texts.
 
-    Ordinary are the words that stand where a name may (in capitals before a colon or dash, or alone in brackets) and that texts
-    have in lower case, too. Names hardly ever are, so what comes to the driver grows with the vocabulary and not with the speakers.
+    Ordinary are the words that texts have in lower case and also with a capital or before a colon. Names hardly ever stand in
+    lower case, so what comes to the driver grows with the vocabulary and not with the speakers.
     """
-    own = segments.select(F.col("text").alias("t")).where("text is not null")
-    chains = F.concat(F.regexp_extract_all("t", F.lit(r"((?:[A-Za-z][\w'’.-]*\s+){0,3}[A-Za-z][\w'’-]*)(?::| +[-–—] )"), 1), F.regexp_extract_all("t", F.lit(r"[\[{]\s*([A-Z][a-z'’-]+)\s*[\]}]"), 1))
-    marked = F.greatest(*[F.contains("t", F.lit(m)) for m in (":", " - ", " – ", " — ", "[", "{")])
-    heads = own.where(marked).select(F.explode(chains).alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w"))
-    heads = heads.select(F.regexp_replace("w", r"^[.'’-]+|[.'’-]+$", "").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("as_head"))
-    bare = F.btrim("w", F.lit(",;.?!'\"()’")).alias("w")  # no patterns here: this reads every word
-    words = own.select(F.explode(F.split("t", " ")).alias("w")).select(bare).where("w >= 'a' and w < '{'").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= ORDINARY)
-    ordinary = heads.join(words.hint("merge"), "w").where(F.col("n") >= ORDINARY_SHARE * F.col("as_head")).select("w")
-    after = own.where(F.col("t").contains("ER ")).select(F.explode(F.regexp_extract_all("t", F.lit(r"\bER ([a-z'’-]+)"), 1)).alias("w")).distinct()
-    got = ordinary.withColumn("k", F.lit(0)).unionByName(after.withColumn("k", F.lit(1))).collect()
-    return frozenset(w for w, k in got if not k), frozenset(w for w, k in got if k and w.strip("-") and not _HUM.fullmatch(w))
+    own = segments.select("text").where("text is not null")
+    words = own.mapInArrow(_count_words, "w string, lower long, capital long, after long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("lower", "capital", "after")])
+    ordinary = (F.col("lower") >= ORDINARY) & (F.col("capital") > 0) & (F.col("lower") >= ORDINARY_SHARE * F.col("capital"))
+    got = words.where(ordinary | (F.col("after") > 0)).select("w", ordinary, F.col("after") > 0).collect()
+    return frozenset(w for w, o, _ in got if o), frozenset(w for w, _, a in got if a and w.strip("-") and not _HUM.fullmatch(w))
 
 
 def sample_texts(segments: DataFrame, most: int = SAMPLE_SEGMENTS) -> list[list[str]]:
