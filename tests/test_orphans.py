@@ -41,3 +41,26 @@ def test_heavy_keys_take_the_broadcast_way_with_the_same_result(spark):
     one = {tuple(r) for r in orphans.check_references(refs, target, max_heavy=10, min_heavy=5).collect()}
     two = {tuple(r) for r in orphans.check_references(refs, target).collect()}
     assert one == two and len(one) == 299
+
+
+def test_counts_of_a_skewed_key_at_the_default_limits(spark):
+    day = lambda i: datetime(2024, 1 + i % 3, 1 + i % 28)
+    evidence = [(i, "Hot" if i < 3000 else f"k{i % 50}", None if i % 97 == 0 else day(i), "k") for i in range(5000)]
+    votes = [(i, ["hot", f"k{i}", "late_1"], day(i)) for i in range(60)]
+    chunks = [("hot", 1, None, datetime(2024, 2, 10), "x"), ("late_1", 1, None, datetime(2024, 3, 9), "x"), ("k7", 1, T1, None, "x"), *[(f"k{i}", 1, None, None, "x") for i in range(20, 40)]]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((evidence, EVIDENCE), (votes, VOTES), (chunks, CHUNKS), ([(1, None)], MEETINGS))]
+    refs = orphans._all_references(*frames[:2])
+    assert [r[0] for r in orphans.heavy_keys(refs).collect()] == ["hot"]
+    want = {}
+    for table, _, key, kind, month in (tuple(r) for r in orphans.orphan_rows(*frames).collect()):
+        n, keys = want.get((table, month, kind), (0, set()))
+        want[table, month, kind] = (n + 1, keys | {key})
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in orphans.orphan_counts(*frames).collect()}
+    assert got == {k: (n, len(keys)) for k, (n, keys) in want.items()} and any(k[2] == "late" for k in got)
+
+
+def test_what_is_added_up_first_is_small(spark):
+    refs = spark.createDataFrame([("t", i, "hot", T1 if i % 2 else T2) for i in range(1000)], "src_table string, row_id long, chunk_id string, created_at timestamp")
+    pre = refs.groupBy("src_table", "chunk_id").agg({"*": "count"})
+    assert pre.count() == 1
+    assert [r[0] for r in orphans.heavy_keys(pre, weight=pre["count(1)"], min_heavy=5, max_heavy=10).collect()] == ["hot"]
