@@ -1,14 +1,17 @@
 """Items of varying length into containers of fixed capacity, with little space left over.
 
 Only the histogram of item lengths (at most as many bins as the capacity) comes to the driver. There the configuration linear
-program is solved by multiplicative weights: each length has a weight that falls as it is covered, and the pattern of greatest
-weight that fits a container is priced by a knapsack over the capacity. Its solution is rounded down to whole containers; what
-is left is packed by further priced patterns, each used as often as the remaining items allow, until nothing is left.
+program is solved by multiplicative weights: each length has a price, its length times a weight that falls exponentially with the
+share of its items that is covered; the pattern of greatest price that fits a container is found by a knapsack over the capacity
+and used for a fraction of containers, until every length is covered to COVERED. The fractions, scaled to cover each length once,
+are rounded systematically (the running sum of fractions is rounded, so that none of them is lost); where a rounded pattern finds
+no item of a length left, the longest ones that fit take the place. What is left then is packed by further priced patterns.
 Items are then numbered within their length, and their number says which container holds them; no item visits the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +23,10 @@ from pyspark.sql import Window as W
 
 from gavelworks.storage import cut
 
-#: Steps of multiplicative weights, how fast weights fall, and the most units that the knapsack divides a capacity into.
-STEPS, RATE, UNITS = 120, 0.35, 1024
-#: Items of one length are numbered in so many independent parts, so that a length that a third of all items have isn't one task.
-PARTS = 64
+#: How far each length is covered by the program, how fast weights fall, the share of a length that one step covers at most, and the most units that the knapsack divides a capacity into.
+COVERED, RATE, STEP, UNITS = 0.95, 9.0, 0.25, 512
+#: Items of one length are numbered in independent parts of about so many items, and in PARTS at least, so that a length that a third of all items have isn't one task.
+PART_ITEMS, PARTS = 500_000, 64
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,10 +55,11 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndar
 
 @dataclass
 class Plan:
-    """patterns: (how many containers, {length: items in each}); containers are numbered in this order."""
+    """patterns: (how many containers, {length: items in each}); containers are numbered in this order. The first `programmed` of them are the linear program's."""
 
     capacity: int
     patterns: list[tuple[int, dict[int, int]]]
+    programmed: int = 0
 
     def slots(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By length: the first item number of each pattern that holds it, the pattern's first container, and the items in each container."""
@@ -85,12 +89,36 @@ def _fill(counts: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: i
         room -= int(k * lengths[i])
 
 
-def plan(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
+def program(lengths: np.ndarray, demand: np.ndarray, sizes: np.ndarray, room: int, fit) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, how many containers of each, fractional) that cover demand: the configuration program by multiplicative weights. fit cuts a pattern to what a container holds.
+
+    Each step covers the scarcest length of its pattern by STEP at most, so a length's price falls by a bounded factor; patterns that come again are added up.
+    """
+    covered, found = np.zeros(len(lengths)), {}
+    base = math.log(len(lengths) + 2)
+    while covered.min() < COVERED:
+        weights = np.exp(-RATE * base * np.minimum(covered, 4.0) / 4) * (covered < 1.0 + STEP)
+        counts = fit(best_pattern(sizes, weights * lengths, room))
+        if not counts.any():
+            break
+        some = counts > 0
+        times = STEP * float((demand[some] / counts[some]).min())
+        key = counts.tobytes()
+        found[key] = found.get(key, 0.0) + times
+        covered += times * counts / demand
+    patterns = np.array([np.frombuffer(k, np.int64) for k in found]).reshape(-1, len(lengths))
+    fractions = np.array(list(found.values()))
+    need = float(demand @ lengths)
+    have = float(fractions @ (patterns @ lengths)) if len(fractions) else 1.0
+    return patterns, fractions * min(1.0, need / have)
+
+
+def plan(histogram: dict[int, int], capacity: int, with_program: bool = True) -> Plan:
     """A plan for histogram (items by length, 1 to capacity). Items of the full capacity have containers of their own."""
     patterns = [(histogram[capacity], {capacity: 1})] if histogram.get(capacity) else []
     lengths = np.array(sorted(n for n, k in histogram.items() if k and 0 < n < capacity), np.int64)
     if not len(lengths):
-        return Plan(capacity, patterns)
+        return Plan(capacity, patterns, len(patterns))
     left = np.array([histogram[n] for n in lengths], np.int64)
     unit = max(1, -(-capacity // UNITS))
     # rounded to units, a pattern may be too long by less than a unit for each item; it is then cut to what fits
@@ -105,24 +133,32 @@ def plan(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
             counts[enough[0] if len(enough) else some[-1]] -= 1
         return _fill(counts, lengths, have, capacity)
 
+    def use(times: int, counts: np.ndarray) -> None:
+        nonlocal left
+        patterns.append((times, {int(n): int(k) for n, k in zip(lengths, counts, strict=True) if k}))
+        left = left - times * counts
+
     demand = left.astype(float)
-    covered, found = np.zeros(len(lengths)), []
-    for _ in range(steps):
-        weights = np.exp(-RATE * (covered / demand) * np.log(len(lengths) + 2) * 4)
-        counts = trimmed(best_pattern(sizes, weights / weights.max() * lengths, room), left)
-        times = max(1e-9, float((demand[counts > 0] / counts[counts > 0]).min()) / 4)
-        found.append((times, counts))
-        covered += times * counts
-    scale = 1.0 / max(1.0, float((covered / demand).max()))
-    total = sum(t * (c @ lengths) for t, c in found) or 1.0
-    scale = max(scale, min(1.0, float(demand @ lengths) / total))
-    for times, counts in found:
-        if not (counts > 0).any():
-            continue
-        whole = min(int(times * scale), int((left[counts > 0] // counts[counts > 0]).min()))
-        if whole:
-            patterns.append((whole, {int(n): int(k) for n, k in zip(lengths, counts, strict=True) if k}))
-            left = left - whole * counts
+    if with_program:
+        start = left.copy()
+        found, fractions = program(lengths, demand, sizes, room, lambda c: trimmed(c, start))
+        order = np.argsort(-(found @ lengths) / capacity, kind="stable")  # the fullest first, while every length is there
+        sums = np.floor(np.cumsum(fractions[order]) + 0.5).astype(np.int64)
+        for i, times in zip(order, np.diff(sums, prepend=0).tolist(), strict=True):
+            while times > 0:
+                some = found[i] > 0
+                whole = min(times, int((left[some] // found[i][some]).min()))
+                if whole:
+                    use(whole, found[i])
+                else:
+                    counts = trimmed(found[i].copy(), left)
+                    # a container that would stay emptier than the others is left to the further patterns
+                    if counts @ lengths < 0.98 * capacity:
+                        break
+                    whole = 1
+                    use(whole, counts)
+                times -= whole
+    programmed = len(patterns)
     while (left > 0).any():
         alive = np.flatnonzero(left > 0)
         share = left[alive] / demand[alive]
@@ -131,10 +167,8 @@ def plan(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
         counts = trimmed(few, left)
         if not counts.any():
             counts[alive[-1]] = 1
-        whole = int((left[counts > 0] // counts[counts > 0]).min())
-        patterns.append((whole, {int(n): int(k) for n, k in zip(lengths, counts, strict=True) if k}))
-        left = left - whole * counts
-    return Plan(capacity, patterns)
+        use(int((left[counts > 0] // counts[counts > 0]).min()), counts)
+    return Plan(capacity, patterns, programmed)
 
 
 def pieces(sized: DataFrame, specs: DataFrame) -> DataFrame:
@@ -148,17 +182,18 @@ def pieces(sized: DataFrame, specs: DataFrame) -> DataFrame:
     return many.select("spec_id", "capacity", "doc_id", "piece", start.alias("start_token"), F.least(F.col("capacity").cast("long"), F.col("n_tokens") - start).alias("length"))
 
 
-def pack(items: DataFrame, steps: int = STEPS) -> DataFrame:
+def pack(items: DataFrame) -> DataFrame:
     """(spec_id, container_id, doc_id, piece, start_token, n_tokens): the container of each of items, as from pieces().
 
     Container ids count from 0 within a spec. Equal lengths are told apart by document and piece; the sum of a container never exceeds its capacity.
     """
-    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
+    parts = max(PARTS, items.count() // PART_ITEMS)
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     bins = cut(items.groupBy("spec_id", "capacity", "length", "part").agg(F.count("*").alias("n")))
     histograms: dict[tuple[int, int], dict[int, int]] = {}
     for spec, capacity, length, n in bins.groupBy("spec_id", "capacity", "length").agg(F.sum("n")).collect():
         histograms.setdefault((spec, capacity), {})[length] = n
-    slots = {spec: plan(h, capacity, steps).slots() for (spec, capacity), h in histograms.items()}
+    slots = {spec: plan(h, capacity).slots() for (spec, capacity), h in histograms.items()}
     before = W.partitionBy("spec_id", "length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = bins.select("spec_id", "length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(W.partitionBy("spec_id", "length", "part").orderBy("doc_id", "piece"))

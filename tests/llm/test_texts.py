@@ -111,6 +111,23 @@ def test_packing_holds_every_token_once(spark):
     assert packing.pack(items.limit(0)).count() == 0
 
 
+def test_the_program_packs_nearly_all_items():
+    rng = random.Random(9)
+    for capacity, many in ((128, 40), (700, 60)):
+        sizes = Counter(min(capacity, int(rng.lognormvariate(3.5, 1))) or 1 for _ in range(5000))
+        histogram = {n: k * many for n, k in sizes.items()}
+        got = packing.plan(histogram, capacity)
+        held = Counter()
+        for times, counts in got.patterns:
+            assert sum(n * k for n, k in counts.items()) <= capacity
+            held.update({n: times * k for n, k in counts.items()})
+        assert held == Counter(histogram)
+        programmed = sum(times * sum(counts.values()) for times, counts in got.patterns[: got.programmed])
+        assert programmed >= 0.9 * sum(histogram.values())
+        least = -(-sum(n * k for n, k in histogram.items()) // capacity)
+        assert sum(times for times, _ in got.patterns) <= 1.005 * least + 1
+
+
 def test_mixing_meets_shares_within_caps(spark):
     rng = random.Random(6)
     rows = [(i, ["big", "mid", "small", None, "other"][min(4, int(rng.random() ** 3 * 5))], rng.randrange(0, 50)) for i in range(4000)]
