@@ -13,7 +13,7 @@ square. Labels spread by rounds of joins:
    subject's terms: a frame whose subject mostly stands alone in its document is no evidence, nor is a figure of speech or
    procedure, whose terms occur with all subjects alike.
 
-A document has each subject that at least MIN_SENTENCES of its sentences are about.
+A document has each subject that at least MIN_SENTENCES of its sentences are about, and each that a reader gave it and one of its sentences confirms.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from gavelworks.storage import cut
 
-SEED_ROUNDS, ROUNDS, MIN_SENTENCES = 2, 3, 2
+SEED_ROUNDS, MIN_SENTENCES = 2, 2
+#: Rounds over all documents end when no more than this share of the labelled sentence forms changes; MOST_ROUNDS only guards against labels that swing for ever.
+SETTLED, MOST_ROUNDS = 0.01, 12
 #: A term is about a subject if so large a share of its mentions is, of so many at least; or a lesser share of more mentions.
 PURE, MENTIONS, FAIRLY_PURE, MANY_MENTIONS = 0.7, 3, 0.5, 12
 #: Least logarithm of how much likelier a subject is with a term of its own than without.
@@ -107,6 +109,13 @@ def _in_passing(placed: DataFrame, key: str) -> DataFrame:
     return stands.where((F.col("m") >= FRAME_MENTIONS) & (F.col("coherence") < COHERENT)).select(key)
 
 
+def _changed(before: DataFrame, now: DataFrame) -> float:
+    """The share of forms (fid, subject) that have another subject now, or have one only before or only now."""
+    both = before.select("fid", F.col("subject").alias("old")).join(now.select("fid", "subject"), "fid", "full_outer")
+    changed, every = both.agg(F.count_if(~F.col("old").eqNullSafe(F.col("subject"))), F.count("*")).first()
+    return changed / every if every else 0.0
+
+
 def prepare(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, tid) of each document with a text, (tid, fid, n) of each sentence form of a distinct text, and (fid, sentence, docs) of each form."""
     own = documents.select("doc_id", "text").where("doc_id is not null and trim(text) <> ''").withColumn("tid", F.xxhash64("text"))
@@ -121,13 +130,14 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
     """The propagated graph: documents (doc_id, tid), occurrences (tid, fid, n), form terms (fid, term) and the terms' table (term, subject, lift, share, n)."""
     docs, occurrences, forms = prepare(documents)
     every = forms.select("fid", "docs", F.explode(terms_of(F.col("sentence"))).alias("term"))
-    # a term with fewer mentions can never be about anything
-    often = every.groupBy("term").agg(F.sum("docs").alias("m")).where(F.col("m") >= MENTIONS).select("term")
+    notes = areas.where("subject is not null").select("subject", F.explode(sentences(F.concat_ws(" ", F.translate("subject", "_", " "), "scope_note"))).alias("s"))
+    note_mentions = cut(notes.select(F.explode(terms_of(F.col("s"))).alias("term"), "subject", F.lit(NOTE_MENTIONS).alias("p")))
+    # a term with fewer mentions, those of the notes included, can never be about anything
+    counted = every.select("term", "docs").unionByName(note_mentions.select("term", F.col("p").cast("long").alias("docs")))
+    often = counted.groupBy("term").agg(F.sum("docs").alias("m")).where(F.col("m") >= MENTIONS).select("term")
     form_terms = all_terms = cut(every.join(often, "term").select("fid", "term"))
     known = areas.select("subject").where("subject is not null").distinct()
     clamp = labels.select("doc_id", "subject").distinct().join(F.broadcast(known), "subject").join(docs, "doc_id").select("tid", "subject").distinct()
-    notes = areas.where("subject is not null").select("subject", F.explode(sentences(F.concat_ws(" ", F.translate("subject", "_", " "), "scope_note"))).alias("s"))
-    note_mentions = notes.select(F.explode(terms_of(F.col("s"))).alias("term"), "subject", F.lit(NOTE_MENTIONS).alias("p"))
     # 1. within labelled documents: each sentence may take each of its document's subjects
     allowed = cut(occurrences.join(clamp, "tid").select("tid", "fid", "subject"))
     among = allowed.groupBy("tid", "fid").agg(F.count("*").alias("k"))
@@ -143,11 +153,15 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         state = weighed.join(total, ["tid", "fid"]).select("tid", "fid", "subject", (F.col("e") / F.col("z")).alias("p"))
     # 2. over all documents
     readers = clamp.groupBy("tid").agg(F.collect_set("subject").alias("readers"))
-    for turn in range(ROUNDS):
+    settled = None
+    for turn in range(MOST_ROUNDS):
         if turn == 1:
             flat = table.groupBy("term").agg(F.max("share").alias("share"), F.max("n").alias("n")).where((F.col("share") < FLAT) & (F.col("n") >= FLAT_MENTIONS))
             form_terms = cut(form_terms.join(flat.select("term"), "term", "left_anti"))
-        best = _best(form_terms, table)
+        best = cut(_best(form_terms, table))
+        if settled is not None and _changed(settled, best) <= SETTLED:
+            break
+        settled = best
         placed = cut(occurrences.join(best, "fid").select("tid", "fid", "subject", "n"))
         own = placed.join(_in_passing(placed, "fid"), "fid", "left_anti").select("tid", "fid", "subject")
         # a label against the reader's counts half
@@ -168,7 +182,7 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """(doc_id, subject, n_sentences) of each document and each subject that at least MIN_SENTENCES of its sentences are about.
+    """(doc_id, subject, n_sentences) of each document and each subject that at least MIN_SENTENCES of its sentences are about, or one if a reader gave the subject.
 
     Subjects are those of areas (subject, scope_note); labels (doc_id, subject) of other subjects or of unknown documents are ignored. Copies of a text
     have the same subjects. Null and blank texts have none. Without any label or area the result is empty.
@@ -182,7 +196,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame)
     framed = cut(frame.select("fid", "subject", F.xxhash64("left").alias("frame")))
     placed = cut(occurrences.join(framed, "fid"))
     firm = placed.join(_in_passing(placed, "fid"), "fid", "left_anti").join(_in_passing(placed, "frame"), "frame", "left_anti")
-    counted = firm.groupBy("tid", "subject").agg(F.sum("n").alias("n_sentences")).where(F.col("n_sentences") >= MIN_SENTENCES)
+    # a reader's label is clamped where a sentence confirms it: readers are at times wrong, and a subject without any sentence is none
+    trusted = labels.select("doc_id", "subject").distinct().join(docs, "doc_id").select("tid", "subject", F.lit(True).alias("trusted")).distinct()
+    counted = firm.groupBy("tid", "subject").agg(F.sum("n").alias("n_sentences")).join(trusted, ["tid", "subject"], "left")
+    counted = counted.where((F.col("n_sentences") >= MIN_SENTENCES) | F.col("trusted")).drop("trusted")
     return docs.join(counted, "tid").select("doc_id", "subject", "n_sentences")
 
 
