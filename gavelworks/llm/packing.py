@@ -32,7 +32,8 @@ PART_ITEMS, PARTS = 500_000, 64
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each size to take so that they fit the capacity and are worth most (unbounded knapsack)."""
     value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
+    order = np.lexsort((-worth, sizes))
+    order = order[np.concatenate([[True], sizes[order][1:] != sizes[order][:-1]])]  # of equal sizes only the one worth most
     s, w = sizes[order], worth[order]
     fitting = np.searchsorted(s, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -102,7 +103,8 @@ def program(lengths: np.ndarray, demand: np.ndarray, sizes: np.ndarray, room: in
         if not counts.any():
             break
         some = counts > 0
-        times = STEP * float((demand[some] / counts[some]).min())
+        most = float((demand[some] / counts[some]).min())
+        times = max(STEP * most, min(1.0, most))  # whole containers of rare lengths
         key = counts.tobytes()
         found[key] = found.get(key, 0.0) + times
         covered += times * counts / demand
