@@ -14,6 +14,8 @@ from gavelworks.storage import cut
 
 #: Sizes in estimated tokens, and words that a chunk carries over from the one before.
 TARGET, MOST, OVERLAP_WORDS = 400, 500, 40
+#: A run of chunks with more estimated tokens is halved.
+MOST_TOKENS = 700
 
 
 def first_reason(checks: list[tuple[Column, str]]) -> Column:
@@ -58,6 +60,56 @@ def windows(scored: DataFrame, doc: str, position: str, score: str, least: float
     return spans.withColumn("window", F.row_number().over(W.partitionBy(doc).orderBy("first"))).drop("island")
 
 
+def _halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of rows (pos, tokens, score) cut at the middle until they hold MOST_TOKENS or two rows: (key..., lo, hi) positions within the run."""
+    for f in frames:
+        out = []
+        for key, tokens in zip(f["key"], f["tokens"], strict=True):
+            todo = [(0, len(tokens))]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo <= 2 or sum(tokens[lo:hi]) <= MOST_TOKENS:
+                    out.append((key, lo, hi))
+                else:
+                    todo += [(lo + (hi - lo) // 2, hi), (lo, lo + (hi - lo) // 2)]
+        yield pd.DataFrame(out, columns=["key", "lo", "hi"]).astype({"key": "int64", "lo": "int32", "hi": "int32"})
+
+
+def candidate_windows(scored: DataFrame, targets: dict[str, tuple]) -> DataFrame:
+    """(target, doc, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, text, rank) of scored (doc, pos, text, tokens, start_time, end_time, source, and a score column for each target).
+
+    Hits (a score of at least the target's) with its context on both sides, merged where they overlap or touch; runs of more than MOST_TOKENS
+    are halved, and halves without a hit dropped. source is the most frequent one, the smallest in a tie. rank is by total within doc and target. One row for each doc and pos.
+    """
+    from functools import reduce
+
+    base = ["doc", "pos", "text", "tokens", "start_time", "end_time", "source"]
+    parts = [scored.select(F.lit(t).alias("target"), F.lit(float(least)).alias("least"), F.lit(k).alias("k"), *base, F.col(t).alias("score")) for t, (_, least, k) in targets.items()]
+    own = reduce(DataFrame.unionByName, parts)
+    w = W.partitionBy("target", "doc").orderBy("pos")
+    hit = (F.col("score") >= F.col("least")).cast("int")
+    numbered = own.withColumn("nth", F.row_number().over(w)).withColumn("hit", hit)
+    # how far the nearest hit before and after is
+    back = F.col("nth") - F.last(F.when(F.col("hit") == 1, F.col("nth")), ignorenulls=True).over(w)
+    ahead = F.first(F.when(F.col("hit") == 1, F.col("nth")), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("nth")
+    near = numbered.withColumn("gap", F.least(back, ahead)).where("gap <= k")
+    island = near.withColumn("island", F.col("nth") - F.row_number().over(w)).withColumn("key", F.xxhash64("target", "doc", "island"))
+    island = cut(island.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("pos")) - 1))
+    runs = island.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"]).alias("tokens"))
+    halves = runs.mapInPandas(_halves, "key long, lo int, hi int")
+    rows = island.join(halves, "key").where("at >= lo and at < hi")
+    said = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    spans = rows.groupBy("target", "doc", "key", "lo", "least").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_rows"), F.sum("tokens").alias("n_tokens"), F.max("score").alias("peak"), half_up(F.sum("score"), 3).alias("total"),
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_join(F.transform(said, lambda x: F.concat(F.lit("[["), x["pos"].cast("string"), F.lit("]]\n"), x["text"])), "\n\n").alias("text"),
+        F.collect_list("source").alias("sources"),
+    )
+    often = F.array_max(F.transform(F.array_sort(F.array_distinct("sources")), lambda x, i: F.struct(F.size(F.filter("sources", lambda y: y == x)), -i, x.alias("x"))))["x"]
+    kept = spans.where("peak >= least").withColumn("source", often)
+    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("target", "doc").orderBy(F.desc("total"), "first")))
+    return ranked.select("target", "doc", "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", "text", "rank")
+
+
 def dominant(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
     """The most frequent non-null value of each group; of equally frequent ones the first in order."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("at"))

@@ -12,19 +12,50 @@ from gavelworks.functions.text import half_up
 
 
 def where_given(df: DataFrame, **wanted: object) -> DataFrame:
-    """df where each named column equals its value; None is no filter, False and 0 are. Suffixes: __min, __max (inclusive), __like (any case, with wildcards)."""
+    """df where each named column equals its value; None, "" and empty lists are no filter, False and 0 are.
+
+    Suffixes: __min, __max (inclusive), __like (any case, with wildcards), __in, __not_in (a null is in neither), __not (a null is not kept), __known (not null).
+    """
 
     def test(name: str, value: object) -> Column:
         column, _, kind = name.partition("__")
-        if kind == "min":
-            return F.col(column) >= F.lit(value)
-        if kind == "max":
-            return F.col(column) <= F.lit(value)
-        if kind == "like":
-            return F.lower(column).like(f"%{str(value).lower()}%")
-        return F.col(column) == F.lit(value)
-
-    return reduce(lambda d, kv: d.where(test(*kv)), ((k, v) for k, v in wanted.items() if v is not None and v != ""), df)
+        c = F.col(column)
+        tests = {
+            "min": lambda: c >= F.lit(value),
+            "max": lambda: c <= F.lit(value),
+            "like": lambda: F.lower(c).like(f"%{str(value).lower()}%"),
+            "in": lambda: c.isin(list(value)),
+            "not_in": lambda: ~c.isin(list(value)),
+            "not": lambda: c != F.lit(value),
+            "known": lambda: c.isNotNull() if value else c.isNull(),
+        }
+        return tests[kind]() if kind else c == F.lit(value)
+
+    return reduce(lambda d, kv: d.where(test(*kv)), ((k, v) for k, v in wanted.items() if v is not None and v not in ("", [])), df)
+
+
+def envelope(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(total, limit, offset, has_more) of a page of df."""
+    total = df.agg(F.count("*").alias("total"))
+    return total.select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (F.lit(offset + limit) < F.col("total")).alias("has_more"))
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table."""
+    return reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, d in tables.items()))
+
+
+def review_rates(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and school: rows, rows to review, and the mean confidence to three places."""
+    every = reduce(DataFrame.unionByName, (d.select(F.lit(t).alias("name"), "school_slug", "needs_review", "confidence") for t, d in tables.items()))
+    mean = half_up(F.avg(F.col("confidence").cast("decimal(9,6)")).cast("double"), 3)
+    return every.groupBy("name", "school_slug").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"), mean.alias("mean_confidence"))
+
+
+def mark_where(df: DataFrame, hits: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """df with column set to value in the rows whose key is among hits; null keys aren't."""
+    marked = df.join(hits.select(F.col(key).alias("_hit")).where("_hit is not null").distinct(), df[key] == F.col("_hit"), "left")
+    return marked.withColumn(column, F.when(F.col("_hit").isNotNull(), value).otherwise(F.col(column))).drop("_hit")
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gavelworks.functions.text import half_up
+from gavelworks.storage import keep
 
-
-#: Blocks that the queries are held against the vectors in.
-BLOCKS = 8
+#: So many queries and vectors are held against each other in one task.
+BLOCK_QUERIES, BLOCK_VECTORS = 256, 20_000
+#: Vectors that the lists of an index are fitted on at most, and rounds of fitting.
+SAMPLE_VECTORS, FIT_ROUNDS = 20_000, 12
+#: Dimensions of the plain embedding.
+WIDTH = 64
 
 
 def unit(v: Column) -> Column:
@@ -20,19 +32,44 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
 
 
+def _best_of(k: int):
+    """The k best vectors of a block (vec_id, embedding) for each of its queries (query_id, embedding), by cosine to six places, ties by id."""
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(vectors) and len(queries):
+            v, q = (np.array(f["embedding"].tolist(), float) for f in (vectors, queries))
+            ids = vectors["vec_id"].to_numpy()
+            similar = np.floor(v @ q.T * 1e6 + 0.5) / 1e6
+            for j, query in enumerate(queries["query_id"].tolist()):
+                s = similar[:, j]
+                some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                best = some[np.lexsort((ids[some], -s[some]))][:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "similarity": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+
+    return run
+
+
+def _ranked(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) of unit vectors and queries that meet in blocks with equal keys."""
+    best = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_best_of(k), "query_id long, vec_id long, similarity double")
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest vectors by cosine of each of queries (query_id, embedding), ties by id.
+    """(query_id, vec_id, similarity, rank): the k nearest vectors by cosine of each of queries (query_id, embedding), ties by id. Null and zero vectors are near to none.
 
-    queries is the stated query set, held against all vectors in blocks: vectors are spread over tasks, and each task keeps the
-    k best of its block before the blocks' best are ranked.
+    queries is the stated query set, held against all vectors in blocks: BLOCK_QUERIES queries meet BLOCK_VECTORS vectors in a task, so
+    no task grows with the tables, and each keeps its k best before the blocks' best are ranked.
     """
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q")).where("q is not null")
-    asked = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("vb")).where("v is not null")
-    met = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(asked, "block").select("vec_id", "vb", "v", F.explode("qs").alias("s"))
-    scored = met.select(F.col("s.query_id").alias("query_id"), "vec_id", "vb", half_up(F.aggregate(F.zip_with("v", "s.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6).alias("similarity"))
-    best = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id", "vb").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+    q = queries.select("query_id", unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
+    v = vectors.select("vec_id", unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
+    n_q, n_v = max(1, -(-queries.count() // BLOCK_QUERIES)), max(1, -(-vectors.count() // BLOCK_VECTORS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return _ranked(v.withColumn("vb", part("vec_id", n_v)).withColumn("qb", every(n_q)), q.withColumn("qb", part("query_id", n_q)).withColumn("vb", every(n_v)), ["qb", "vb"], k)
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -41,13 +78,13 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return own.select("doc", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_top(posts: DataFrame, n_docs: int, mean_length: float, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc, score, rank): the k best documents of each question (query_id, term, distinct) by BM25, ties by id."""
-    wanted = posts.join(F.broadcast(questions.select("term").distinct()), "term", "left_semi")
+def bm25_top(posts: DataFrame, n_docs: int, mean_length: float, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, with_idf: bool = True) -> DataFrame:
+    """(query_id, doc, score, rank): the k best documents of each question (query_id, term, distinct) by BM25, ties by id. with_idf: rare terms weigh more."""
+    wanted = posts.join(questions.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) if with_idf else F.lit(1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = wanted.join(df, "term").join(F.broadcast(questions), "term").groupBy("query_id", "doc").agg(half_up(F.sum(weight), 4).alias("score"))
+    scored = wanted.join(df, "term").select("term", "doc", weight.alias("w")).join(questions, "term").groupBy("query_id", "doc").agg(half_up(F.sum("w"), 4).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
 
 
@@ -58,3 +95,131 @@ def fuse(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
         every = every.unionByName(leg.select("query_id", "doc", "rank"))
     scored = every.groupBy("query_id", "doc").agg(half_up(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def plain_embedding(texts: pd.Series) -> pd.Series:
+    """A stand-in for a model: each word adds 1 or -1 to a dimension that its hash names. Null and wordless texts give zeros."""
+
+    def embed(text: str | None) -> np.ndarray:
+        hashes = np.array([zlib.crc32(w.encode()) for w in re.findall("[a-z0-9]+", (text or "").lower())], np.int64)
+        return np.bincount(hashes % WIDTH, np.where(hashes // WIDTH % 2, 1.0, -1.0), WIDTH) if len(hashes) else np.zeros(WIDTH)
+
+    return texts.map(embed)
+
+
+def enough_probes(data: np.ndarray, centres: np.ndarray, k: int = 10, least: float = 0.95) -> int:
+    """The fewest lists to read so that 64 vectors of the sample find `least` of their k nearest in it."""
+    at, asked = (data @ centres.T).argmax(1), data[:64]
+    exact = np.argsort(-(asked @ data.T), axis=1, kind="stable")[:, 1 : k + 1]  # without itself
+    if not exact.size:
+        return len(centres)
+    nearest = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(nearest)
+    np.put_along_axis(place, nearest, np.arange(nearest.shape[1])[None], 1)
+    needed = np.sort(np.take_along_axis(place, at[exact], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(least * len(needed)))]) + 1
+
+
+def fit_lists(vectors: DataFrame, n_lists: int, most: int = SAMPLE_VECTORS, seed: int = 5) -> tuple[np.ndarray, int]:
+    """The centres of n_lists lists, by spherical k-means on at most `most` vectors, chosen by a hash of their ids, and how many lists a query should read."""
+    share = min(1.0, 0.98 * most / max(1, vectors.count()))
+    own = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select(unit(F.col("embedding")).alias("v")).where("v is not null").limit(most)
+    data = np.array([r[0] for r in own.collect()])
+    if not len(data):
+        return np.zeros((0, 0)), 0
+    rng = np.random.default_rng(seed)
+    centres = data[rng.choice(len(data), min(n_lists, len(data)), replace=False)]
+    for _ in range(FIT_ROUNDS):
+        at = (data @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, data)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    return centres, enough_probes(data, centres)
+
+
+def listed(vectors: DataFrame, centres: np.ndarray, id_col: str, probes: int) -> DataFrame:
+    """(id, list, v): every vector with the `probes` lists whose centres are nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = np.array(batch.column("v").to_pylist())
+            near = np.argsort(-(data @ centres.T), axis=1, kind="stable")[:, :probes]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(near.ravel().astype(np.int32)), batch.column("v").take(rows)], [id_col, "list", "v"])
+
+    own = vectors.select(id_col, unit(F.col("embedding")).alias("v")).where("v is not null")
+    return own.mapInArrow(run, f"{id_col} long, list int, v array<double>")
+
+
+def build_index(vectors: DataFrame, n_lists: int) -> tuple[np.ndarray, int, DataFrame]:
+    """The centres, how many lists a query should read, and every vector in the list of its nearest centre, kept as a table. Only the first two come from a sample."""
+    centres, probes = fit_lists(vectors, n_lists)
+    return centres, probes, keep(listed(vectors, centres, "vec_id", 1)) if len(centres) else vectors.selectExpr("vec_id", "0 as list", "cast(embedding as array<double>) as v").limit(0)
+
+
+def search_index(queries: DataFrame, index: tuple[np.ndarray, int, DataFrame], k: int) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest vectors of each query among its nearest lists. Lists are read in parts of about BLOCK_VECTORS."""
+    centres, probes, lists = index
+    if not len(centres):
+        return queries.selectExpr("query_id", "query_id as vec_id", "0D as similarity", "0 as rank").limit(0)
+    sizes = [(r[0], -(-r[1] // BLOCK_VECTORS)) for r in lists.groupBy("list").count().collect()]  # a row for each list of the index
+    parts = lambda: F.broadcast(queries.sparkSession.createDataFrame(sizes, "list int, n int"))
+    salted = lists.join(parts(), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
+    asked = listed(queries, centres, "query_id", probes).join(parts(), "list")
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return _ranked(salted.withColumnRenamed("v", "embedding"), spread.withColumnRenamed("v", "embedding"), ["list", "part"], k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n_queries, n_exact, n_found, recall) of found (query_id, vec_id) against exact ones."""
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
+def payload_filter(chunks: DataFrame, school: str | None = None, first: str | None = None, last: str | None = None, speaker: str | None = None, source: str | None = None, meeting: int | None = None) -> DataFrame:
+    """chunks that meet all given conditions. Dates (yyyy-mm-dd) bound the year; the month, too, if both are in one year."""
+    for column, value in (("school_slug", school), ("speaker", speaker), ("source_type", source), ("meeting_id", meeting)):
+        if value is not None:
+            chunks = chunks.where(F.col(column) == value)
+    if first or last:
+        low, high = int(first[:4]) if first else 2000, int(last[:4]) if last else 2100
+        chunks = chunks.where(F.year("published_date").between(low, high))
+        if first and last and low == high:
+            chunks = chunks.where(F.month("published_date").between(int(first[5:7]), int(last[5:7])))
+    return chunks
+
+
+def word_cover(question: Column, text: Column) -> Column:
+    """A stand-in for a reranking model: the share of a question's distinct words that a text has, to six places."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0))
+    asked = words(question)
+    return half_up(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, words(text))), F.size(asked)), F.lit(0.0)), 6)
+
+
+def rerank(ranked: DataFrame, questions: DataFrame, texts: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = word_cover) -> DataFrame:
+    """The k best of ranked (query_id, doc, rank) by scorer(question, text), ties by their rank before. questions (query_id, question), texts (doc, text)."""
+    scored = ranked.select("query_id", "doc", F.col("rank").alias("before")).join(questions, "query_id").join(texts, "doc").select("query_id", "doc", "before", scorer(F.col("question"), F.col("text")).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "before"))).where(F.col("rank") <= k).drop("before")
+
+
+def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per query of two rankings (query_id, doc, rank): whether their first differ, how many documents both have, and the rank correlation of these."""
+    tops = [r.groupBy("query_id").agg(F.min_by("doc", "rank").alias(n)) for r, n in ((a, "top_a"), (b, "top_b"))]
+    both = a.select("query_id", "doc", F.col("rank").alias("ra")).join(b.select("query_id", "doc", F.col("rank").alias("rb")), ["query_id", "doc"])
+    w = W.partitionBy("query_id")
+    placed = both.withColumn("xa", F.row_number().over(w.orderBy("ra"))).withColumn("xb", F.row_number().over(w.orderBy("rb")))
+    n = F.count("*")
+    per = placed.groupBy("query_id").agg(n.alias("shared"), F.when(n > 1, half_up(1 - 6 * F.sum((F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))) / (n * (n * n - 1)), 6)).alias("correlation"))
+    return tops[0].join(tops[1], "query_id").join(per, "query_id", "left").select("query_id", (F.col("top_a") != F.col("top_b")).alias("changed"), F.coalesce("shared", F.lit(0)).alias("shared"), "correlation")
+
+
+def stored_postings(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, int, float]:
+    """Postings kept as a table, the number of documents and their mean length, so that every search reads texts no more."""
+    posts = keep(postings(docs, id_col, text))
+    n = docs.select(id_col).distinct().count()
+    words = posts.agg(F.sum("tf")).first()[0] or 0
+    return posts, n, (words / n if n and words else 1.0)

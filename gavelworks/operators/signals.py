@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelworks.functions.text import content_tokens, half_up, jaccard, slug
+from gavelworks.storage import cut
 
 #: Keywords of the themes, matched as substrings.
 THEMES = {
@@ -18,7 +18,7 @@ THEMES = {
     "T6": ["personnel", "staff", "hire", "appointment", "resignation", "facilities", "construction", "renovation", "building", "campus", "maintenance", "interim", "position", "employee", "human resources", "hr"],
     "T7": ["procedural", "minutes", "agenda", "quorum", "adjournment", "committee", "board meeting", "resolution", "consent", "approval", "motion", "compliance", "bylaw", "legal"],
 }
-#: Patterns (of lower-case text) with weights.
+#: Patterns with weights. They are held against lower-case text, so alternatives with capitals ("I move", "FY 24", month names, "MOU") can never match and are left out.
 VOTE_PATTERNS = [
     (r"\bthe ayes have it\b", 4.0),
     (r"\bmotion (carries|passes|passed|failed|is denied)\b", 4.0),
@@ -68,6 +68,52 @@ FINANCIAL_PATTERNS = [
     (r"\bfederal (gave|provided|awarded)\b", -2.5),
     (r"\bfor example\b|\bsuch as\b|\bfor instance\b", -1.0),
 ]
+PERSONNEL_PATTERNS = [
+    (r"\bapprove the (employment|appointment|hiring)\b", 4.0),
+    (r"\bmotion to (approve|accept).*(employ|appoint|hire)\b", 4.0),
+    (r"\bterminat\w+\b", 3.5),
+    (r"\bresign\w*\b", 3.5),
+    (r"\bretir\w+\b", 3.0),
+    (r"\beffective (date|immediately)\b", 3.0),
+    (r"\bappoint(ment|ed|ing)?\b", 2.5),
+    (r"\bhir(e|ed|ing)\b", 2.5),
+    (r"\bemployment of\b", 2.5),
+    (r"\bnew (hire|position|appointment)\b", 2.5),
+    (r"\bfaculty appointment\b|\bstaff appointment\b", 2.5),
+    (r"\bpersonnel (action|report|item)\b", 2.5),
+    (r"\binterim (appointment|hire|position)\b", 2.5),
+    (r"\bdirector of\b|\bdean of\b", 1.5),
+    (r"\bvice (chancellor|president) of\b", 1.5),
+    (r"\bposition of\b", 1.5),
+    (r"\binterim\b", 1.0),
+    (r"\bplease welcome\b", -4.0),
+    (r"\bthank you for joining\b|\bjoining us (today|this evening|tonight)\b", -3.5),
+    (r"\bwill (now )?present\b|\bwill (now )?provide (an )?overview\b", -3.0),
+    (r"\bhere to (answer|present|provide|share)\b", -2.5),
+    (r"\bhas been (serving|working|with us) (for|since)\b", -2.5),
+    (r"\bworking (with|alongside) (our|the)\b", -2.0),
+    (r"\bled by (our|the)\b|\bsupported by\b", -1.5),
+    (r"\bresponded? to (board |trustee )?questions\b", -1.5),
+]
+INITIATIVE_PATTERNS = [
+    (r"\blaunch(ed|ing)?\b|\bpilot (program|project)\b", 2.5),
+    (r"\bprogram (approval|launch|expansion)\b", 2.5),
+    (r"\bstrategic (plan|initiative|goal|priority)\b", 2.5),
+    (r"\bworkforce (development|training|pipeline)\b", 2.5),
+    (r"\bpartnership (with|agreement)\b", 2.0),
+    (r"\bmemorandum of understanding\b", 2.5),
+    (r"\bnew (program|initiative|course|certificate)\b", 2.0),
+    (r"\baccreditation\b|\bcurriculum (approval|change)\b", 2.0),
+    (r"\bgrant (funded|award|program)\b", 2.0),
+    (r"\bequity (initiative|plan|program)\b", 2.0),
+    (r"\btechnology (upgrade|project|initiative)\b", 2.0),
+    (r"\bdual credit\b|\bdual enrollment\b", 2.0),
+    (r"\bstudent success (initiative|plan|program)\b", 2.5),
+    (r"\bexpand\w+\b|\bgrow\w+\b", 1.0),
+    (r"\bconstruction\b|\brenovation\b|\bfacility\b", 1.5),
+]
+#: The least score of a hit, and the chunks of context on each side, by target.
+TARGETS = {"votes": (VOTE_PATTERNS, 5.0, 2), "financial": (FINANCIAL_PATTERNS, 2.5, 1), "personnel": (PERSONNEL_PATTERNS, 3.5, 2), "initiative": (INITIATIVE_PATTERNS, 2.5, 4)}
 
 
 def pattern_score(text: Column, patterns: list[tuple[str, float]]) -> Column:
@@ -87,21 +133,74 @@ def theme(category: Column, themes: dict[str, list[str]] = THEMES, default: str
     return F.when(best["n"] == 0, default).otherwise(best["name"])
 
 
-def recurring(rows: DataFrame, by: Column, measured: Column, least_schools: int = 2) -> DataFrame:
-    """Per group that at least so many schools have: counts, schools that measured it, mean and signal confidence, and the sorted schools."""
-    schools = F.count_distinct("school_slug")
-    with_measure = F.count_distinct(F.when(measured.isNotNull(), F.col("school_slug")))
+def _groups(rows: DataFrame, by: Column, extra: list[Column], least_schools: int) -> DataFrame:
+    """Per group that at least so many schools have: counts, mean confidence, first and last date (published_date), and the sorted schools."""
     out = rows.groupBy(by.alias("signal")).agg(
-        schools.alias("n_schools"),
+        F.count_distinct("school_slug").alias("n_schools"),
         F.count_distinct("meeting_id").alias("n_meetings"),
         F.count("*").alias("n_rows"),
-        F.count(measured).alias("n_measured"),
-        with_measure.alias("n_measured_schools"),
-        half_up(F.avg(F.col("confidence").cast("decimal(9,6)")).cast("double"), 3).alias("mean_confidence"),
+        half_up(F.avg(F.col("confidence").cast("decimal(9,6)")).cast("double"), 6).alias("mean_confidence"),
+        F.min("published_date").alias("first_date"),
+        F.max("published_date").alias("last_date"),
         F.array_join(F.sort_array(F.collect_set("school_slug")), ",").alias("schools"),
+        *extra,
     )
+    return out.where(F.col("n_schools") >= least_schools)
+
+
+def recurring(rows: DataFrame, by: Column, measured: Column, id_col: str, least_schools: int = 2) -> DataFrame:
+    """Signals of groups with measured outcomes: as _groups, with the measured rows, the schools that measured, and the sorted ids.
+
+    Confidence is 0.4 for schools (full at 3), 0.4 for schools that measured (full at 2) and 0.2 for the mean; a signal is to be reviewed unless two schools have it and two measured it.
+    """
+    extra = [
+        F.count(measured).alias("n_measured"),
+        F.count_distinct(F.when(measured.isNotNull(), F.col("school_slug"))).alias("n_measured_schools"),
+        F.array_join(F.sort_array(F.collect_set(id_col)), ",").alias("supporting_ids"),
+    ]
     strength = 0.4 * F.least(F.lit(1.0), F.col("n_schools") / 3) + 0.4 * F.least(F.lit(1.0), F.col("n_measured_schools") / 2) + 0.2 * F.col("mean_confidence")
-    return out.where(F.col("n_schools") >= least_schools).withColumn("signal_confidence", half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength)), 3))
+    out = _groups(rows, by, extra, least_schools).withColumn("signal_confidence", half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength)), 3))
+    return out.withColumn("needs_review", ~((F.col("n_schools") >= 2) & (F.col("n_measured_schools") >= 2)))
+
+
+def trend(rows: DataFrame, by: Column, least_schools: int = 2) -> DataFrame:
+    """Signals of groups without outcomes: as _groups; confidence is half for schools (full at 3) and half the mean, and below two schools a signal is to be reviewed."""
+    strength = 0.5 * F.least(F.lit(1.0), F.col("n_schools") / 3) + 0.5 * F.col("mean_confidence")
+    return _groups(rows, by, [], least_schools).withColumn("signal_confidence", half_up(strength, 3)).withColumn("needs_review", F.col("n_schools") < 2)
+
+
+def school_phrase(schools: Column, most: int = 3) -> Column:
+    """Sorted distinct slugs as prose: "A", "A, B and C", "A, B, C and 2 more"; "Multiple schools" without any."""
+    names = F.transform(F.sort_array(F.array_distinct(schools)), lambda s: F.initcap(F.translate(s, "_", " ")))
+    n = F.size(names)
+    head = F.array_join(F.slice(names, 1, F.greatest(F.least(n - 1, F.lit(most)), F.lit(0))), ", ")
+    few = F.when(n == 1, names[0]).otherwise(F.concat(head, F.lit(" and "), F.try_element_at(names, F.lit(-1))))
+    return F.when(F.coalesce(n, F.lit(0)) < 1, "Multiple schools").when(n <= most, few).otherwise(F.concat(head, F.lit(" and "), (n - most).cast("string"), F.lit(" more")))
+
+
+def plural(n: Column, word: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
+def described() -> Column:
+    """A sentence on a signal of columns schools (joined by commas), school_count, meeting_count, n_rows, n_measured and n_measured_schools."""
+    who = F.concat(school_phrase(F.split("schools", ",")), F.lit(" ("), plural(F.col("school_count"), "school"), F.lit("): "), plural(F.col("n_rows"), "record"), F.lit(" of "), F.translate("category", "_", " "), F.lit(" across "), plural(F.col("meeting_count"), "meeting"), F.lit("."))
+    outcome = (
+        F.when(F.col("n_measured_schools") >= 2, F.concat(F.lit(" "), plural(F.col("n_measured"), "record"), F.lit(" of "), plural(F.col("n_measured_schools"), "school"), F.lit(" with measured outcomes.")))
+        .when(F.col("n_measured_schools") == 1, F.concat(F.lit(" "), plural(F.col("n_measured"), "record"), F.lit(" with measured outcomes, all of one school.")))
+        .otherwise(" No measured outcomes.")
+    )
+    return F.concat(who, F.when(F.col("signal_type") == "recurring_initiative", outcome).otherwise(""))
+
+
+def insight_id(school: Column, theme_name: Column, name: Column) -> Column:
+    return F.concat_ws("__", school, theme_name, slug(name))
+
+
+def insight_parts(c: Column) -> Column:
+    """(school, theme, slug) of an insight id; null unless it has three parts and a known theme."""
+    parts = F.split(c, "__", 3)
+    return F.when((F.size(parts) == 3) & F.try_element_at(parts, F.lit(2)).isin(*THEMES), F.struct(*[F.try_element_at(parts, F.lit(i)).alias(n) for i, n in ((1, "school"), (2, "theme"), (3, "slug"))]))
 
 
 def matrix_candidates(initiatives: DataFrame) -> DataFrame:
@@ -115,34 +214,46 @@ def matrix_candidates(initiatives: DataFrame) -> DataFrame:
 
 
 def merge_alike(bucket: DataFrame, least: float = 0.5, shared: int = 2) -> DataFrame:
-    """Rows of a school and theme merged, most confident first, into the first kept one whose words they share (similarity `least`, `shared` words).
+    """Candidates of a school and theme merged, most confident first, into the first kept one whose words they share: (school_slug, theme, slug, label, confidence, n_meetings).
 
-    Each bucket is folded in one task over its distinct slugs; the result is (school_slug, theme, label, confidence, n_meetings).
+    A candidate is kept unless an earlier kept one is alike (alike_pairs). This is decided in rounds: whoever has a kept earlier
+    neighbour is merged, whoever has only merged ones is kept, until all are decided; no task holds a whole school and theme.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in group.sort_values(["confidence", "first_id"], ascending=[False, True]).itertuples(index=False):
-            words, meetings = set(r.words), set(r.meetings)
-            for k in kept:
-                both = len(words & k["words"])
-                if both >= shared and both >= least * len(words | k["words"]):
-                    k["meetings"] |= meetings
-                    break
-            else:
-                kept.append({"school_slug": r.school_slug, "theme": r.theme, "label": r.label, "confidence": r.confidence, "words": words, "meetings": meetings})
-        return pd.DataFrame([{**{c: k[c] for c in ("school_slug", "theme", "label", "confidence")}, "n_meetings": len(k["meetings"])} for k in kept])
-
-    own = bucket.withColumn("words", content_tokens(F.col("label")))
-    return own.groupBy("school_slug", "theme").applyInPandas(fold, "school_slug string, theme string, label string, confidence double, n_meetings long")
+    place = lambda s: F.struct((-F.col(f"confidence{s}")).alias("c"), F.col(f"first_id{s}").alias("i"))
+    nodes = cut(bucket.select("school_slug", "theme", "slug", "label", "confidence", "meetings", "first_id"))
+    ends = nodes.select("school_slug", "theme", "slug", "confidence", "first_id")
+    pairs = alike_pairs(nodes, least, shared)
+    for side in ("a", "b"):
+        pairs = pairs.join(ends.select("school_slug", "theme", F.col("slug").alias(f"slug_{side}"), F.col("confidence").alias(f"confidence_{side}"), F.col("first_id").alias(f"first_id_{side}")), ["school_slug", "theme", f"slug_{side}"])
+    first, last = F.least(place("_a"), place("_b")), F.greatest(place("_a"), place("_b"))
+    edges = cut(pairs.select(last["i"].alias("node"), first.alias("earlier")))
+    state = cut(nodes.select(F.col("first_id").alias("node")).join(edges.select("node").distinct(), "node", "left_anti").withColumn("kept", F.lit(True)))
+    while True:
+        open_edges = edges.join(state.select("node"), "node", "left_anti").join(state.select(F.col("node").alias("n2"), "kept"), F.col("earlier.i") == F.col("n2"), "left")
+        judged = open_edges.groupBy("node").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.count_if(F.col("kept").isNull()).alias("n_open"))
+        new = cut(judged.where("any_kept or n_open = 0").select("node", (~F.col("any_kept")).alias("kept")))
+        if not new.head(1):
+            break
+        state = cut(state.unionByName(new))
+    into = edges.join(state.where("kept").select(F.col("node").alias("n2")), F.col("earlier.i") == F.col("n2")).join(state.where("not kept").select("node"), "node")
+    into = into.groupBy("node").agg(F.min("earlier")["i"].alias("to"))
+    held = nodes.join(into, nodes["first_id"] == into["node"], "left").select(F.coalesce("to", "first_id").alias("first_id"), F.explode("meetings").alias("m"))
+    n = held.groupBy("first_id").agg(F.count_distinct("m").alias("n_meetings"))
+    return nodes.join(n, "first_id").select("school_slug", "theme", "slug", "label", "confidence", "n_meetings")
 
 
 def alike_pairs(bucket: DataFrame, least: float = 0.5, shared: int = 2) -> DataFrame:
-    """Pairs of slugs of a school and theme that share `shared` words and have a similarity of `least`; joined on their words."""
-    own = bucket.select("school_slug", "theme", "slug", content_tokens(F.col("label")).alias("words"))
-    flat = own.withColumn("word", F.explode("words"))
-    other = flat.select("school_slug", "theme", "word", F.col("slug").alias("slug_b"), F.col("words").alias("words_b"))
-    met = flat.join(other, ["school_slug", "theme", "word"]).where("slug < slug_b").select("school_slug", "theme", F.col("slug").alias("slug_a"), "slug_b", "words", "words_b").distinct()
-    both = F.size(F.array_intersect("words", "words_b"))
-    return met.where((both >= shared) & (jaccard(F.col("words"), F.col("words_b")) >= least)).select("school_slug", "theme", "slug_a", "slug_b")
+    """Pairs of slugs of a school and theme whose labels share `shared` words and have a similarity of `least`.
 
+    Joined on the rarest words only: two labels that share so many words share one of their rarest n - needed + 1.
+    """
+    own = bucket.select("school_slug", "theme", "slug", content_tokens(F.col("label")).alias("words"))
+    flat = own.select("school_slug", "theme", "slug", F.explode("words").alias("word"))
+    ranked = flat.join(flat.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("school_slug", "theme", "slug").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    needed = F.greatest(F.ceil(F.size("w") * least).cast("int"), F.lit(shared))
+    rare = ranked.where(F.size("w") >= needed).select("school_slug", "theme", "slug", F.explode(F.slice("w", 1, F.greatest(F.size("w") - needed + 1, F.lit(1)))).alias("p")).select("school_slug", "theme", "slug", "p.word")
+    met = rare.withColumnRenamed("slug", "slug_a").join(rare.withColumnRenamed("slug", "slug_b"), ["school_slug", "theme", "word"]).where("slug_a < slug_b").select("school_slug", "theme", "slug_a", "slug_b").distinct()
+    for side in ("a", "b"):
+        met = met.join(own.select("school_slug", "theme", F.col("slug").alias(f"slug_{side}"), F.col("words").alias(f"words_{side}")), ["school_slug", "theme", f"slug_{side}"])
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    return met.where((both >= shared) & (jaccard(F.col("words_a"), F.col("words_b")) >= least)).select("school_slug", "theme", "slug_a", "slug_b")

@@ -6,47 +6,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelworks.functions import text as T
+from gavelworks.operators import cleaning as L
 from gavelworks.operators import corpus as C
+from gavelworks.operators import evidence as E
 from gavelworks.operators import relational as R
 from gavelworks.operators import retrieval as V
+from gavelworks.operators import routing as Q
 from gavelworks.operators import signals as S
-from gavelworks.tables import table
+from gavelworks.tables import rows, table
 
-#: Words that the lexical queries ask for; query_id counts from 1.
-QUESTIONS = ["budget amendment contract", "nursing clinical program", "police safety emergency", "faculty salary schedule"]
-
-
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").distinct()
+#: Names by which schools are asked for, beside their slugs; a small table that a user would give.
+def _aliases(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    slugs = sorted(r[0] for r in table(spark, folder, "meetings").select("school_slug").where("school_slug is not null").distinct().collect())
+    return {s: [s.replace("_", " "), s.split("_")[0]] for s in slugs}
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.col("text")
-    return _chunks(spark, folder).select("chunk_id", "meeting_id", "chunk_index", S.pattern_score(t, S.VOTE_PATTERNS).alias("vote_score"), S.pattern_score(t, S.FINANCIAL_PATTERNS).alias("money_score"))
+    scores = [S.pattern_score(F.col("text"), patterns).alias(f"{name}_score") for name, (patterns, _, _) in S.TARGETS.items()]
+    return rows(spark, folder, "chunks", "meeting_id", "chunk_index", "text").select("chunk_id", "meeting_id", "chunk_index", *scores)
 
 
 def _ordinal(spark: SparkSession, folder: str) -> DataFrame:
     """Scored chunks of meetings, one for each index."""
-    own = _scored(spark, folder).where("meeting_id is not null and chunk_index is not null")
-    return own.groupBy("meeting_id", "chunk_index").agg(F.max("vote_score").alias("vote_score"))
+    own = rows(spark, folder, "chunks", "meeting_id", "chunk_index", "text").select("meeting_id", "chunk_index", S.pattern_score(F.col("text"), S.VOTE_PATTERNS).alias("vote_score"))
+    return own.where("meeting_id is not null and chunk_index is not null").groupBy("meeting_id", "chunk_index").agg(F.max("vote_score").alias("vote_score"))
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate windows of all four targets in one scan."""
+    own = rows(spark, folder, "chunks", "meeting_id", "chunk_index", "text", "start_time", "end_time").where("meeting_id is not null and chunk_index is not null")
+    one = own.groupBy("meeting_id", "chunk_index").agg(F.min_by(F.struct("text", "start_time", "end_time"), "chunk_id").alias("c")).join(rows(spark, folder, "meetings", "source_type"), "meeting_id", "left")
+    scores = [S.pattern_score(F.col("c.text"), patterns).alias(name) for name, (patterns, _, _) in S.TARGETS.items()]
+    scored = one.select(F.col("meeting_id").alias("doc"), F.col("chunk_index").alias("pos"), "c.text", T.token_estimate(T.word_count(F.col("c.text"))).alias("tokens"), "c.start_time", "c.end_time", F.coalesce("source_type", F.lit("vtt")).alias("source"), *scores)
+    found = C.candidate_windows(scored, S.TARGETS)
+    return found.select("target", F.col("doc").alias("meeting_id"), "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", F.length("text").alias("n_chars"), "rank")
+
+
+def _motions(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated query set: the motion of every vote whose id is divisible by 20."""
+    return rows(spark, folder, "votes", "motion_text").where("vote_id % 20 = 0 and motion_text is not null").select(F.col("vote_id").alias("query_id"), F.col("motion_text").alias("question"))
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    return rows(spark, folder, "chunks", "text").groupBy(F.col("chunk_id").alias("doc")).agg(F.min("text").alias("text"))
+
 
+def _terms(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0))).alias("term"))
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, w) for i, q in enumerate(QUESTIONS, 1) for w in dict.fromkeys(q.split())], "query_id int, term string")
 
+def _bm25(spark: SparkSession, folder: str, k: int = 20, with_idf: bool = True) -> DataFrame:
+    posts, n, mean = V.stored_postings(_passages(spark, folder), "doc", F.col("text"))
+    return V.bm25_top(posts, n, mean, _terms(_motions(spark, folder)), k, with_idf=with_idf)
 
-def _bm25(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
-    posts = V.postings(table(spark, folder, "documents"), "doc_id", F.col("text"))
-    sized = table(spark, folder, "documents").select(F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0)).alias("n"))
-    n, mean = sized.agg(F.count("*"), F.avg("n")).first()
-    return V.bm25_top(posts, n, mean or 1.0, _questions(spark), k)
 
+def _meaning(spark: SparkSession, folder: str, k: int = 40) -> DataFrame:
+    """The dense leg: passages nearest to a motion by the plain embedding. Vectors are addressed by a hash of their passage."""
+    passages = _passages(spark, folder).withColumn("vec_id", F.xxhash64("doc"))
+    asked = _motions(spark, folder).select("query_id", V.plain_embedding(F.col("question")).alias("embedding"))
+    near = V.dense_top(asked, passages.select("vec_id", V.plain_embedding(F.col("text")).alias("embedding")), k)
+    return near.join(passages.select("vec_id", "doc"), "vec_id").select("query_id", "doc", "similarity", "rank")
 
-def _cover(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
-    """A second leg: documents by how many of a question's words they have, then by length, then by id."""
-    posts = V.postings(table(spark, folder, "documents"), "doc_id", F.col("text"))
-    met = posts.join(F.broadcast(_questions(spark)), "term").groupBy("query_id", "doc").agg(F.count("*").alias("n"), F.min("length").alias("length"))
-    return R.top_n(met, ["query_id"], [F.desc("n"), F.asc("length"), F.asc("doc")], k)
+
+def _fused(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
+    """Dense and sparse passages, twice as many as wanted of each, fused by reciprocal ranks."""
+    return V.fuse([_meaning(spark, folder, 2 * k), _bm25(spark, folder, 2 * k)], k)
+
+
+def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight best passages of each motion: dense and sparse legs fused, then reranked; numbered for citation."""
+    best = V.rerank(_fused(spark, folder), _motions(spark, folder), _passages(spark, folder), 8)
+    return Q.numbered_sources(best, F.lit(True)).select("query_id", "doc", "score", "rank", "citation")
 
 
 def _dense(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,41 +85,101 @@ def _dense(spark: SparkSession, folder: str) -> DataFrame:
     return V.dense_top(asked, vectors, 10)
 
 
+def _ivf(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    lists = max(4, int(vectors.count() ** 0.5))
+    return V.search_index(asked, V.build_index(vectors, lists), 10)
+
+
+def _routed(spark: SparkSession, folder: str) -> DataFrame:
+    """How the texts of motions and agenda items would be answered, were they asked."""
+    own = rows(spark, folder, "votes", "motion_text", "school_slug")
+    asked = own.select("vote_id", F.concat_ws(" ", F.lit("what was said about the motion"), "motion_text", F.lit("at"), F.translate("school_slug", "_", " ")).alias("q"))
+    return Q.routed(asked, "vote_id", "q", _aliases(spark, folder))
+
+
+def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    own = rows(spark, folder, "extraction_evidence", "vote_id", "financial_item_id", "personnel_action_id", "initiative_id", "chunk_id", "exact_quote", "supports")
+    item = F.coalesce(*[F.concat(F.lit(t), F.col(c).cast("string")) for t, c in (("v", "vote_id"), ("f", "financial_item_id"), ("p", "personnel_action_id"), ("i", "initiative_id"))])
+    return own.select(F.col("evidence_id").alias("ref"), item.alias("item"), "chunk_id", "exact_quote", "supports"), _passages(spark, folder).withColumnRenamed("doc", "chunk_id")
+
+
+FIELDS = "amount category description vendor fiscal_year action_type person_name position_title effective_date initiative_name motion_text moved_by seconded_by passed".split()
+
+
+def _verified(spark: SparkSession, folder: str) -> DataFrame:
+    return E.validated(*_evidence(spark, folder), FIELDS)[0].select("ref", "item", "quote", "start", "end", "in_overlap", "chunk_sha", F.array_join("supports", ",").alias("supports"))
+
+
+def _previews(spark: SparkSession, folder: str) -> DataFrame:
+    refs, chunks = _evidence(spark, folder)
+    found = E.validated(refs, chunks, FIELDS)[0].join(chunks, "chunk_id").select("ref", E.preview(F.col("text"), F.col("start"), F.col("end"), 120).alias("p"))
+    return found.select("ref", F.col("p.text").alias("preview"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+
 def _chunked(spark: SparkSession, folder: str) -> DataFrame:
     own = table(spark, folder, "cleaned_segments")
     return C.chunk(own.select(F.col("video_id").alias("doc"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("segment_id").alias("seq"), "text", "speaker"))
 
 
+def _captions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return rows(spark, folder, "cleaned_segments", *columns)
+
+
 QUERIES = {
-    "clean_text": lambda s, d: table(s, d, "cleaned_segments").distinct().select("segment_id", T.clean(F.col("text")).alias("text")),
-    "slugify": lambda s, d: table(s, d, "initiatives").distinct().select("initiative_id", T.slug(F.col("initiative_name")).alias("slug")),
-    "token_set": lambda s, d: table(s, d, "initiatives").distinct().select("initiative_id", F.array_join(T.content_tokens(F.col("description")), " ").alias("tokens")),
-    "sentence_counts": lambda s, d: _chunks(s, d).select("chunk_id", "start_time", F.size(T.split_sentences(F.col("text"))).alias("n_sentences"), T.word_count(F.col("text")).alias("n_words")),
-    "token_estimates": lambda s, d: _chunks(s, d).groupBy("meeting_id").agg(F.sum(T.token_estimate(T.word_count(F.col("text")))).alias("n_tokens")),
-    "chunk_fingerprints": lambda s, d: _chunks(s, d).select("chunk_id", "chunk_index", T.fingerprint(F.col("text")).alias("sha")),
-    "null_like_names": lambda s, d: table(s, d, "votes").distinct().select("vote_id", T.null_like(F.col("seconded_by")).alias("name")),
-    "title_years": lambda s, d: table(s, d, "meetings").distinct().select("meeting_id", T.title_year(F.col("title"), F.col("published_date")).alias("year")),
-    "clock_times": lambda s, d: _chunks(s, d).select("chunk_id", "chunk_index", T.clock(F.col("start_time")).alias("starts")),
+    "clean_text": lambda s, d: _captions(s, d, "text").select("segment_id", T.clean(F.col("text")).alias("text")),
+    "cue_text": lambda s, d: _captions(s, d, "text").select("segment_id", L.clean_cue(F.col("text")).alias("text")),
+    "contractions": lambda s, d: rows(s, d, "chunks", "text").select("chunk_id", T.expand_contractions(F.col("text")).alias("text")),
+    "sentence_repeats": lambda s, d: rows(s, d, "chunks", "text").select("chunk_id", F.array_join(T.distinct_neighbours(T.split_sentences(F.col("text"))), " ").alias("text")),
+    "finished_text": lambda s, d: rows(s, d, "chunks", "text").select("chunk_id", L.finish(F.col("text")).alias("text")),
+    "slugify": lambda s, d: rows(s, d, "initiatives", "initiative_name").select("initiative_id", T.slug(F.col("initiative_name")).alias("slug")),
+    "token_set": lambda s, d: rows(s, d, "initiatives", "description").select("initiative_id", F.array_join(T.content_tokens(F.col("description")), " ").alias("tokens")),
+    "sentence_counts": lambda s, d: rows(s, d, "chunks", "start_time", "text").select("chunk_id", "start_time", F.size(T.split_sentences(F.col("text"))).alias("n_sentences"), T.word_count(F.col("text")).alias("n_words")),
+    "token_estimates": lambda s, d: rows(s, d, "chunks", "meeting_id", "text").groupBy("meeting_id").agg(F.sum(T.token_estimate(T.word_count(F.col("text")))).alias("n_tokens")),
+    "chunk_fingerprints": lambda s, d: rows(s, d, "chunks", "chunk_index", "text").select("chunk_id", "chunk_index", T.fingerprint(F.col("text")).alias("sha")),
+    "null_like_names": lambda s, d: rows(s, d, "votes", "seconded_by").select("vote_id", T.null_like(F.col("seconded_by")).alias("name")),
+    "title_years": lambda s, d: rows(s, d, "meetings", "title", "published_date").select("meeting_id", T.title_year(F.col("title"), F.col("published_date")).alias("year")),
+    "title_dates": lambda s, d: rows(s, d, "meetings", "title").select("meeting_id", T.title_date(F.col("title")).alias("date")),
+    "clock_times": lambda s, d: rows(s, d, "chunks", "chunk_index", "start_time").select("chunk_id", "chunk_index", T.clock(F.col("start_time")).alias("starts"), T.minutes(F.col("start_time")).alias("short")),
+    "caption_pace": lambda s, d: _captions(s, d, "text", "start_time", "end_time").where("start_time is not null and end_time is not null").select("segment_id", T.words_a_minute(T.word_count(F.col("text")), F.col("end_time") - F.col("start_time")).alias("confidence")),
+    "video_quality": lambda s, d: L.document_quality(_captions(s, d, "video_id", "text", "speaker", "confidence"), "video_id"),
     "score_lexicon": _scored,
-    "window_islands": lambda s, d: C.windows(_ordinal(s, d), "meeting_id", "chunk_index", "vote_score", 2.5, 2),
-    "quality_gate": lambda s, d: C.gate(table(s, d, "meetings").distinct(), _chunks(s, d).where("deleted_at is null")),
-    "dominant_speaker": lambda s, d: C.dominant(table(s, d, "cleaned_segments").distinct(), ["video_id"], "speaker", F.col("segment_id")),
-    "source_dominant": lambda s, d: table(s, d, "cleaned_segments").distinct().groupBy("school_slug", "source_type").agg(F.count("*").alias("n"), T.half_up(F.avg("confidence"), 3).alias("mean_confidence")),
-    "quote_verdicts": lambda s, d: C.verify_quotes(table(s, d, "extraction_evidence").distinct(), _chunks(s, d)),
+    "window_islands": lambda s, d: C.windows(_ordinal(s, d), "meeting_id", "chunk_index", "vote_score", 5.0, 2),
+    "candidate_windows": _windows,
+    "quality_gate": lambda s, d: C.gate(rows(s, d, "meetings", "word_count", "duration_seconds", "published_date", "school_id"), rows(s, d, "chunks", "meeting_id", "text", "quality_score", "end_time", "deleted_at").where("deleted_at is null")),
+    "rejections": lambda s, d: QUERIES["quality_gate"](s, d).groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"), T.half_up(F.avg(F.col("mean_quality").cast("decimal(9,6)")).cast("double"), 3).alias("mean_quality")),
+    "dominant_speaker": lambda s, d: C.dominant(_captions(s, d, "video_id", "speaker"), ["video_id"], "speaker", F.col("segment_id")),
+    "source_dominant": lambda s, d: C.dominant(_captions(s, d, "school_slug", "source_type"), ["school_slug"], "source_type", F.col("segment_id")),
+    "source_counts": lambda s, d: _captions(s, d, "school_slug", "source_type", "confidence").groupBy("school_slug", "source_type").agg(F.count("*").alias("n"), T.half_up(F.avg(F.col("confidence").cast("decimal(9,6)")).cast("double"), 3).alias("mean_confidence")),
+    "quote_verdicts": lambda s, d: C.verify_quotes(rows(s, d, "extraction_evidence", "chunk_id", "exact_quote"), rows(s, d, "chunks", "text")),
+    "evidence_verified": _verified,
+    "evidence_reasons": lambda s, d: E.validated(*_evidence(s, d), FIELDS)[1],
+    "evidence_previews": _previews,
+    "routes": _routed,
+    "route_counts": lambda s, d: _routed(s, d).groupBy("route", "tables").agg(F.count("*").alias("n")),
+    "motion_tables": lambda s, d: rows(s, d, "votes", "motion_text").where("motion_text is not null").select("vote_id", F.array_join(Q.tables_of(F.col("motion_text")), ",").alias("tables")),
     "chunks_packed": _chunked,
     "dense_knn": _dense,
+    "dense_ivf": _ivf,
+    "dense_ivf_recall": lambda s, d: V.recall(_ivf(s, d), _dense(s, d)),
     "bm25_top": _bm25,
-    "rrf_fuse": lambda s, d: V.fuse([_bm25(s, d), _cover(s, d)], 20),
+    "bm25_plain": lambda s, d: _bm25(s, d, 20, False),
+    "rrf_fuse": _fused,
+    "retrieved": _retrieved,
+    "rerank_changes": lambda s, d: V.agreement(_fused(s, d), _retrieved(s, d)),
+    "filtered_passages": lambda s, d: V.payload_filter(
+        rows(s, d, "chunks", "meeting_id").join(rows(s, d, "meetings", "school_slug", "published_date", "source_type").na.fill("vtt", ["source_type"]), "meeting_id"), school="harlow_creek", first="2023-02-01", last="2023-09-30"
+    ).select("chunk_id", "meeting_id", F.year("published_date").alias("year"), F.month("published_date").alias("month"), "source_type"),
 }
 
-_SCORE = "greatest(0.0::double, {0})"
 
 
 def _score_sql(patterns: list[tuple[str, float]]) -> str:
     return "greatest(0.0::double, " + " + ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{p}') then {w}::double else 0.0::double end" for p, w in patterns) + ")"
 
 
-_SCORED = f"select chunk_id, meeting_id, chunk_index, {_score_sql(S.VOTE_PATTERNS)} as vote_score, {_score_sql(S.FINANCIAL_PATTERNS)} as money_score from (select distinct * from chunks)"
+_SCORED = "select chunk_id, meeting_id, chunk_index, " + ", ".join(f"{_score_sql(p)} as {name}" for name, p in (("votes_score", S.VOTE_PATTERNS), ("financial_score", S.FINANCIAL_PATTERNS), ("personnel_score", S.PERSONNEL_PATTERNS), ("initiative_score", S.INITIATIVE_PATTERNS))) + " from (select distinct * from chunks)"
 _N_WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''))"
 _PLAIN = "trim(regexp_replace(lower(translate({0}, '‘’“”–— ', '''''\"\"-- ')), '\\s+', ' ', 'g'))"
 _GATE = f"""with per as (select meeting_id, count(*) as n, avg(quality_score::decimal(9,6)) as q, sum({_N_WORDS}) as cw, max(end_time) as last from (select distinct * from chunks) where deleted_at is null group by 1),
@@ -97,43 +187,90 @@ _GATE = f"""with per as (select meeting_id, count(*) as n, avg(quality_score::de
  from (select distinct meeting_id, word_count, duration_seconds, published_date, school_id from (select distinct * from meetings)) m left join per p using (meeting_id)),
  judged as (select *, case when n_chunks = 0 then 'no chunks' when words < 500 then 'too few words' when n_chunks < 5 then 'too few chunks' when mean_quality < 0.5 then 'low quality' when published_date is null or school_id is null then 'metadata missing' when secs < 120 then 'too short' end as reason from own)
  select meeting_id, n_chunks, words, mean_quality, reason, case when reason is null then floor((0.40::double * mean_quality + 0.35::double * least(1.0::double, words / 3000) + 0.25::double * least(1.0::double, n_chunks / 50)) * 10000.0::double + 0.5) / 10000.0::double when reason in ('no chunks', 'too few words', 'too few chunks') then 0.0 else mean_quality end as score from judged"""
-_ISLANDS = f"""with s as (select meeting_id, chunk_index, max(vote_score) as score from ({_SCORED}) where meeting_id is not null and chunk_index is not null group by 1, 2),
- n as (select *, (score >= 2.5)::int as hit, row_number() over (partition by meeting_id order by chunk_index) as nth from s),
+_ISLANDS = f"""with s as (select meeting_id, chunk_index, max(votes_score) as score from ({_SCORED}) where meeting_id is not null and chunk_index is not null group by 1, 2),
+ n as (select *, (score >= 5.0)::int as hit, row_number() over (partition by meeting_id order by chunk_index) as nth from s),
  near as (select *, max(hit) over (partition by meeting_id order by chunk_index rows between 2 preceding and 2 following) as near from n),
  isl as (select *, nth - row_number() over (partition by meeting_id order by chunk_index) as island from near where near = 1),
  g as (select meeting_id, island, min(chunk_index) as first, max(chunk_index) as last, count(*) as n_rows, sum(hit)::bigint as n_hits, max(score) as peak, floor(sum(score) * 1000.0::double + 0.5) / 1000.0::double as total from isl group by 1, 2)
  select meeting_id, first, last, n_rows, n_hits, peak, total, row_number() over (partition by meeting_id order by first) as "window" from g"""
-_ASKED = "select * from (values " + ", ".join(f"({i}, '{w}')" for i, q in enumerate(QUESTIONS, 1) for w in dict.fromkeys(q.split())) + ") v(query_id, term)"
-_BM25 = f"""with docs as (select doc_id as doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as terms from documents), size as (select count(*) as n, avg(len(terms)) as mean from docs), asked as ({_ASKED}),
+_PASSAGES = "(select chunk_id as doc, min(text) as text from chunks group by 1)"
+_MOTIONS = "(select distinct vote_id as query_id, motion_text as question from votes where vote_id % 20 = 0 and motion_text is not null)"
+
+
+def _bm25_sql(idf: str, k: int = 20) -> str:
+    return f"""with docs as (select doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as terms from {_PASSAGES}), size as (select count(*) as n, avg(len(terms)) as mean from docs),
+ asked as (select query_id, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) as term from {_MOTIONS}),
  posts as (select doc, length, term, count(*) as tf from (select doc, len(terms) as length, unnest(terms) as term from docs) group by all), wanted as (select * from posts where term in (select term from asked)),
  df as (select term, count(*) as df from wanted group by 1),
- scored as (select a.query_id, w.doc, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) * 10000.0::double + 0.5) / 10000.0::double as score from wanted w join df using (term) join asked a using (term), size group by 1, 2),
- bm as (select *, row_number() over (partition by query_id order by score desc, doc) as rank from scored qualify rank <= 20)"""
+ scored as (select a.query_id, w.doc, floor(sum({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) * 10000.0::double + 0.5) / 10000.0::double as score from wanted w join df using (term) join asked a using (term), size group by 1, 2)
+ select query_id, doc, score, row_number() over (partition by query_id order by score desc, doc) as rank from scored qualify rank <= {k}"""
+
+
+_ROUTED = f"""with q as (select vote_id, trim(concat_ws(' ', 'what was said about the motion', motion_text, 'at', replace(school_slug, '_', ' '))) as q from (select distinct * from votes)),
+ names as (select distinct school_slug as slug, replace(school_slug, '_', ' ') as long, split_part(school_slug, '_', 1) as short from meetings where school_slug is not null),
+ hit as (select vote_id, slug, case when regexp_matches(lower(q), '\\b' || long || '\\b') then instr(lower(q), long) when regexp_matches(lower(q), '\\b' || short || '\\b') then length(regexp_extract(lower(q), '^(.*?)\\b' || short || '\\b', 1)) + 1 else 0 end as pos from q cross join names),
+ named as (select vote_id, list(slug order by pos, slug) as schools from hit where pos > 0 group by 1),
+ f as (select q.vote_id, q, coalesce(len(schools), 0) as n, coalesce(array_to_string(schools, ','), '') as schools, {", ".join(f"regexp_matches(q, '(?i){p.replace(chr(39), chr(39) * 2)}') as {n}" for n, p in (("off", Q.OFF_TOPIC), ("cmp", Q.COMPARES), ("mixed", Q.MIXED), ("told", Q.NARRATIVE), ("v", Q.ON_VOTES), ("m", Q.ON_MONEY), ("p", Q.ON_PEOPLE)))},
+ regexp_extract(q, '(?i){Q.LATEST}', 0) as span from q left join named using (vote_id)),
+ r as (select *, case when off then 'none' when cmp or n >= 2 then 'compare' when span <> '' and not regexp_matches(span, '(?i){Q.SEVERAL}') then 'latest_meeting' when mixed or ((v or m or p) and told) then 'hybrid' when v or m or p then 'sql' when told then 'rag' end as route from f)
+"""
+
+
+def _tables_sql(q: str) -> str:
+    parts = ", ".join("case when " + " or ".join(f"regexp_matches({q}, '(?i){p}')" for p in ps) + f" then '{name}' end" for name, ps in Q.TABLE_HINTS.items())
+    return f"coalesce(nullif(concat_ws(',', {parts}), ''), 'votes,financial_items,personnel_actions')"
+
+
+_ROUTED_ROWS = _ROUTED + f"select vote_id, route, case when route in ('none', 'rag') then '' else {_tables_sql('q')} end as tables, schools from r"
+_CONTRACTED = "text"
+for _short, _long in sorted(T.CONTRACTIONS.items(), key=lambda kv: (-len(kv[0]), kv[0])):
+    _CONTRACTED = f"regexp_replace({_CONTRACTED}, '{_short.replace(chr(39), chr(39) * 2)}', '{_long}', 'gi')"
+_FOUND_QUOTES = f"""with t as (select chunk_id, min(text) as text from chunks group by 1), e as (select distinct evidence_id as ref, coalesce('v' || vote_id, 'f' || financial_item_id, 'p' || personnel_action_id, 'i' || initiative_id) as item, trim(chunk_id) as k, trim(exact_quote) as quote, supports from extraction_evidence),
+ j as (select e.*, t.chunk_id as id, text, {_PLAIN.format("quote")} as norm, {_PLAIN.format("text")} as plain from e left join t on e.k = t.chunk_id),
+ f as (select *, case when length(coalesce(norm, '')) >= 12 and instr(plain, norm) > 0 then true else false end as good from j)
+"""
 SQL = {
-    "slugify": "select initiative_id, left(regexp_replace(regexp_replace(regexp_replace(lower(initiative_name), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) as slug from (select distinct * from initiatives)",
+    "slugify": "select initiative_id, left(regexp_replace(regexp_replace(regexp_replace(lower(initiative_name), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) as slug from (select distinct * from initiatives)",
     "token_set": "select initiative_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]{2,}'), lambda x: x not in ("
     + ", ".join(f"'{w}'" for w in T.STOPWORDS)
     + ")))), ' ') as tokens from (select distinct * from initiatives)",
     "sentence_counts": f"select chunk_id, start_time, len(list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))::int as n_sentences, {_N_WORDS}::int as n_words from (select distinct * from chunks)",
     "token_estimates": f"select meeting_id, sum(floor({_N_WORDS} * 1.3)::bigint)::bigint as n_tokens from (select distinct * from chunks) group by 1",
     "chunk_fingerprints": "select chunk_id, chunk_index, left(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 16) as sha from (select distinct * from chunks)",
-    "null_like_names": "select vote_id, case when lower(trim(seconded_by)) not in (" + ", ".join(f"'{x}'" for x in T.NULL_LIKE) + ") then left(trim(seconded_by), 500) end as name from (select distinct * from votes)",
+    "null_like_names": "select vote_id, case when lower(trim(seconded_by)) not in ('', 'null', 'none', 'n/a', 'na', 'unknown', 'not mentioned', 'not specified', 'not stated', 'not provided', 'not available', 'not applicable', 'unspecified', 'unclear') then left(trim(seconded_by), 500) end as name from (select distinct * from votes)",
     "title_years": "select meeting_id, coalesce(try_cast(nullif(regexp_extract(title, '\\b(20[0-2][0-9])\\b', 1), '') as int), year(published_date)::int) as year from (select distinct * from meetings)",
-    "clock_times": "select chunk_id, chunk_index, printf('%02d:%02d:%02d', (floor(start_time)::bigint // 3600), (floor(start_time)::bigint % 3600) // 60, floor(start_time)::bigint % 60) as starts from (select distinct * from chunks)",
+    "clock_times": "select chunk_id, chunk_index, printf('%02d:%02d:%02d', (floor(start_time)::bigint // 3600), (floor(start_time)::bigint % 3600) // 60, floor(start_time)::bigint % 60) as starts, case when start_time <> 0 then printf('%02d:%02d', floor(start_time)::bigint // 60, floor(start_time)::bigint % 60) else '?' end as short from (select distinct * from chunks)",
     "score_lexicon": _SCORED,
     "window_islands": _ISLANDS,
     "quality_gate": _GATE,
     "dominant_speaker": "with c as (select video_id, speaker, count(*) as n, min(segment_id) as since from (select distinct * from cleaned_segments) where speaker is not null group by 1, 2) select video_id, speaker, n from c qualify row_number() over (partition by video_id order by n desc, since, speaker) = 1",
-    "source_dominant": "select school_slug, source_type, count(*) as n, floor(avg(confidence) * 1000.0::double + 0.5) / 1000.0::double as mean_confidence from (select distinct * from cleaned_segments) group by 1, 2",
+    "source_dominant": "with c as (select school_slug, source_type, count(*) as n, min(segment_id) as since from (select distinct * from cleaned_segments) where source_type is not null group by 1, 2) select school_slug, source_type, n from c qualify row_number() over (partition by school_slug order by n desc, since, source_type) = 1",
     "quote_verdicts": f"""with t as (select lower(trim(chunk_id)) as id, min({_PLAIN.format("text")}) as txt from chunks group by 1), e as (select evidence_id, lower(trim(chunk_id)) as k, {_PLAIN.format("exact_quote")} as q from (select distinct * from extraction_evidence)),
  j as (select e.*, t.id, instr(t.txt, e.q) as pos from e left join t on e.k = t.id), v as (select *, case when length(coalesce(q, '')) < 12 then 'short' when id is null then 'no chunk' when coalesce(pos, 0) = 0 then 'not found' else 'verified' end as verdict from j)
  select evidence_id, verdict, case when verdict = 'verified' then pos::int end as at from v""",
     "dense_knn": """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), q as (select vec_id as query_id, e from v where vec_id % 20 = 0),
  s as (select q.query_id, v.vec_id, floor(list_cosine_similarity(q.e, v.e) * 1000000.0::double + 0.5) / 1000000.0::double as similarity from q cross join v)
  select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s qualify rank <= 10""",
-    "bm25_top": _BM25 + " select query_id, doc, score, rank from bm",
-    "rrf_fuse": _BM25
-    + """, met as (select a.query_id, w.doc, count(*) as n, min(length) as length from wanted w join asked a using (term) group by 1, 2), cov as (select query_id, doc, row_number() over (partition by query_id order by n desc, length, doc) as rank from met qualify rank <= 20),
- legs as (select query_id, doc, rank from bm union all select query_id, doc, rank from cov), f as (select query_id, doc, floor(sum(1.0::double / (60 + rank)) * 100000000.0::double + 0.5) / 100000000.0::double as score from legs group by 1, 2)
- select *, row_number() over (partition by query_id order by score desc, doc) as rank from f qualify rank <= 20""",
+    "bm25_top": _bm25_sql("ln(1 + (n - df + 0.5) / (df + 0.5))"),
+    "bm25_plain": _bm25_sql("1.0::double"),
+    "contractions": f"select chunk_id, {_CONTRACTED} as text from (select distinct chunk_id, text from chunks)",
+    "title_dates": r"""with m as (select distinct meeting_id, title from meetings) select meeting_id, coalesce(try_strptime(regexp_extract(title, '([A-Z][a-z]+ \d{1,2}, \d{4})', 1), '%B %d, %Y')::date,
+ try_strptime(replace(regexp_extract(title, '(\d{1,2}[/.]\d{1,2}[/.]\d{4})', 1), '.', '/'), '%m/%d/%Y')::date, try_strptime(regexp_extract(title, '(\d{4}-\d{2}-\d{2})', 1), '%Y-%m-%d')::date) as date from m""",
+    "caption_pace": f"""select segment_id, case when end_time - start_time <= 0 then 0.85::double when {_N_WORDS} * 60.0::double / (end_time - start_time) > 400 then 0.55::double when {_N_WORDS} * 60.0::double / (end_time - start_time) >= 30 then 0.88::double else 0.65::double end as confidence
+ from (select distinct * from cleaned_segments) where start_time is not null and end_time is not null""",
+    "video_quality": f"""select video_id, n_words, n_speakers, quality, quality < 0.6 as rejected from (select video_id, n_words, n_speakers, floor(coalesce(c, 0.0) * case when n_words < 500 then 0.5::double + 0.5::double * n_words / 500 else 1.0::double end * 10000.0::double + 0.5) / 10000.0::double as quality
+ from (select video_id, sum({_N_WORDS})::bigint as n_words, count(distinct speaker) as n_speakers, avg(confidence::decimal(9,6)) as c from (select distinct * from cleaned_segments) group by 1))""",
+    "rejections": f"select coalesce(reason, 'passed') as reason, count(*) as n, floor(avg(mean_quality::decimal(9,6)) * 1000.0::double + 0.5) / 1000.0::double as mean_quality from ({_GATE}) group by 1",
+    "source_counts": "select school_slug, source_type, count(*) as n, floor(avg(confidence::decimal(9,6)) * 1000.0::double + 0.5) / 1000.0::double as mean_confidence from (select distinct * from cleaned_segments) group by 1, 2",
+    "evidence_verified": _FOUND_QUOTES
+    + """, known as (select distinct item, norm, unnest(supports) as s from f where good), merged as (select item, norm, list_sort(list(s)) as supports from known where s in ("""
+    + ", ".join(f"'{x}'" for x in FIELDS)
+    + """) group by 1, 2), best as (select * from f where good qualify row_number() over (partition by item, norm order by ref) = 1)
+ select b.ref, b.item, substr(text, instr(plain, b.norm)::int, length(b.norm)::int) as quote, (instr(plain, b.norm) - 1)::int as start, (instr(plain, b.norm) - 1 + length(b.norm))::int as "end", false as in_overlap, left(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 16) as chunk_sha,
+ coalesce(array_to_string(m.supports, ','), '') as supports from best b left join merged m using (item, norm)""",
+    "evidence_reasons": _FOUND_QUOTES + "select item, count(distinct case when good then norm end) as n_verified, case when bool_or(id is null) then 'chunk' when bool_or(id is not null and not good) then 'quote' when not bool_or(good) then 'none' end as reason from f group by 1",
+    "routes": _ROUTED_ROWS,
+    "route_counts": f"select route, tables, count(*) as n from ({_ROUTED_ROWS}) group by 1, 2",
+    "motion_tables": f"select vote_id, {_tables_sql('motion_text')} as tables from (select distinct vote_id, motion_text from votes) where motion_text is not null",
+    "filtered_passages": "select chunk_id, meeting_id, year(published_date)::int as year, month(published_date)::int as month, coalesce(source_type, 'vtt') as source_type from (select distinct chunk_id, meeting_id from chunks) join (select distinct meeting_id, school_slug, published_date, source_type from meetings) using (meeting_id) where school_slug = 'harlow_creek' and year(published_date) = 2023 and month(published_date) between 2 and 9",
 }
