@@ -108,9 +108,9 @@ def plain_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(embed)
 
 
-def enough_probes(data: np.ndarray, centres: np.ndarray, k: int = 10, least: float = 0.95) -> int:
-    """The fewest lists to read so that 64 vectors of the sample find `least` of their k nearest in it."""
-    at, asked = (data @ centres.T).argmax(1), data[:64]
+def enough_probes(data: np.ndarray, centres: np.ndarray, k: int = 10, least: float = 0.97) -> int:
+    """The fewest lists to read so that 256 vectors of the sample find `least` of their k nearest in it."""
+    at, asked = (data @ centres.T).argmax(1), data[:256]
     exact = np.argsort(-(asked @ data.T), axis=1, kind="stable")[:, 1 : k + 1]  # without itself
     if not exact.size:
         return len(centres)
