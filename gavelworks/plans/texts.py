@@ -229,7 +229,25 @@ _FOUND_QUOTES = f"""with t as (select chunk_id, min(text) as text from chunks gr
  j as (select e.*, t.chunk_id as id, text, {_PLAIN.format("quote")} as norm, {_PLAIN.format("text")} as plain from e left join t on e.k = t.chunk_id),
  f as (select *, case when length(coalesce(norm, '')) >= 12 and instr(plain, norm) > 0 then true else false end as good from j)
 """
+_UNION = " union all ".join(f"select '{t}' as target, {least}::double as least, {k} as k, doc, pos, text, tokens, start_time, end_time, source, {_score_sql(p)} as score from s" for t, (p, least, k) in S.TARGETS.items())
+_WINDOWS = f"""with recursive s as (select meeting_id as doc, chunk_index as pos, text, floor({_N_WORDS} * 1.3)::int as tokens, start_time, end_time, coalesce(source_type, 'vtt') as source
+ from (select distinct * from chunks) left join (select distinct meeting_id, source_type from meetings) using (meeting_id) where meeting_id is not null and chunk_index is not null qualify row_number() over (partition by meeting_id, chunk_index order by chunk_id) = 1),
+ own as ({_UNION}), n as (select *, row_number() over w as nth from own window w as (partition by target, doc order by pos)),
+ g as (select *, least(nth - max(case when score >= least then nth end) over (partition by target, doc order by pos rows between unbounded preceding and current row), min(case when score >= least then nth end) over (partition by target, doc order by pos rows between current row and unbounded following) - nth) as gap from n),
+ i as (select *, nth - row_number() over (partition by target, doc order by pos) as island from g where gap <= k), r as (select *, row_number() over (partition by target, doc, island order by pos) - 1 as place from i),
+ h as (select target, doc, island, 0::bigint as lo, count(*)::bigint as hi from r group by 1, 2, 3
+  union all select target, doc, island, case when side = 0 then lo else lo + (hi - lo) // 2 end, case when side = 0 then lo + (hi - lo) // 2 else hi end from h cross join (values (0), (1)) v(side)
+  where hi - lo > 2 and (select sum(tokens) from r where r.target = h.target and r.doc = h.doc and r.island = h.island and place >= lo and place < hi) > 700),
+ leaf as (select h.target, h.doc, h.island, h.lo, least, pos, text, tokens, score, start_time, end_time, source from h join r on r.target = h.target and r.doc = h.doc and r.island = h.island and place >= lo and place < hi where h.hi - h.lo <= 2 or (select sum(tokens) from r where r.target = h.target and r.doc = h.doc and r.island = h.island and place >= h.lo and place < h.hi) <= 700),
+ w as (select target, doc, island, lo, min(pos) as first, max(pos) as last, count(*) as n_rows, sum(tokens)::bigint as n_tokens, max(score) as peak, floor(sum(score) * 1000.0::double + 0.5) / 1000.0::double as total, min(start_time) as start_time, max(end_time) as end_time, mode(source) as source,
+  (sum(length('[[' || pos || ']]' || chr(10) || text)) + 2 * (count(*) - 1))::int as n_chars from leaf group by target, doc, island, lo having max(score) >= min(least))
+ select target, doc as meeting_id, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, n_chars, row_number() over (partition by target, doc order by total desc, first) as rank from w"""
+_TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '\s+([,?!:;])', '\1', 'g'), '\.{{4,}}', '...', 'g'), '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'))"
+_FOLDED = "replace(replace(translate({0}, '‘’“”–—' || chr(160), '''''\"\"-- '), chr(8203), ''), '…', '...')"
+_CLEANED = _TIDY.format("trim(regexp_replace(regexp_replace(regexp_replace(" + _FOLDED.format("text") + r", '<[^>]+>', ' ', 'g'), '\[[A-Z0-9 _/-]{2,}\]|\([A-Z0-9 _/-]{2,}\)', ' ', 'g'), '(?i)\b(?:um|uh|er|erm)\b[,\s]*', ' ', 'g'))")
 SQL = {
+    "clean_text": f"select segment_id, {_CLEANED} as text from (select distinct segment_id, text from cleaned_segments)",
+    "candidate_windows": _WINDOWS,
     "slugify": "select initiative_id, left(regexp_replace(regexp_replace(regexp_replace(lower(initiative_name), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) as slug from (select distinct * from initiatives)",
     "token_set": "select initiative_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]{2,}'), lambda x: x not in ("
     + ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -269,6 +287,11 @@ SQL = {
  select b.ref, b.item, substr(text, instr(plain, b.norm)::int, length(b.norm)::int) as quote, (instr(plain, b.norm) - 1)::int as start, (instr(plain, b.norm) - 1 + length(b.norm))::int as "end", false as in_overlap, left(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 16) as chunk_sha,
  coalesce(array_to_string(m.supports, ','), '') as supports from best b left join merged m using (item, norm)""",
     "evidence_reasons": _FOUND_QUOTES + "select item, count(distinct case when good then norm end) as n_verified, case when bool_or(id is null) then 'chunk' when bool_or(id is not null and not good) then 'quote' when not bool_or(good) then 'none' end as reason from f group by 1",
+    "evidence_previews": _FOUND_QUOTES
+    + """, b as (select ref, text, instr(plain, norm) - 1 as s, length(norm) as n from f where good qualify row_number() over (partition by item, norm order by ref) = 1),
+ l as (select *, greatest(0, s - floor((120 - n) / 2)::int) as lo0 from b), r as (select *, least(length(text), lo0 + 120) as hi from l), c as (select *, greatest(0, hi - 120) as lo from r)
+ select ref, case when n >= 120 then substr(text, s::int + 1, n::int) else case when lo > 0 then '… ' else '' end || substr(text, lo::int + 1, (hi - lo)::int) end as preview,
+ (case when n >= 120 then 0 else s - lo + case when lo > 0 then 2 else 0 end end)::int as start, (case when n >= 120 then n else s - lo + case when lo > 0 then 2 else 0 end + n end)::int as "end" from c""",
     "routes": _ROUTED_ROWS,
     "route_counts": f"select route, tables, count(*) as n from ({_ROUTED_ROWS}) group by 1, 2",
     "motion_tables": f"select vote_id, {_tables_sql('motion_text')} as tables from (select distinct vote_id, motion_text from votes) where motion_text is not null",
