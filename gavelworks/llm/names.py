@@ -2,7 +2,8 @@
 
 1. Every distinct spelling is parsed: a person into surname, given name and middle initial, a body (committee, council ...)
    into its words. Which words are given names, and which nickname stands for which name, is learned from the spellings
-   that show it ("Surname, Given"; Given "Nick" Surname), beside a fixed list of common nicknames.
+   that show it ("Surname, Given"; Given "Nick" Surname), beside a fixed list of common nicknames. What is learned is kept as
+   tables and joined to the names; none of it comes to the driver, and what counts as evidence doesn't change with the volume.
 2. The rare tokens (surnames; of a body the words that few bodies share) are joined within a scope to the surnames, or to all
    words of bodies, that step 3 could take for the same word: by what is left of both without a few letters, or by beginnings.
 3. Names that share similar rare tokens are compared token by token: equal, abbreviated, nickname or misspelt tokens count
@@ -83,8 +84,10 @@ walter: walt wally; william: will bill billy liam willy; yolanda: yoli yola; zac
 """
 #: q-gram length, letters from which a word is joined by its q-grams, and least weighted similarity of two names.
 Q, LONG, NAME_SIMILARITY = 2, 16, 0.72
-#: A word is a known given name (or nickname, or common word of bodies) from this share of the forms that show it; so each list is bounded.
-KNOWN_SHARE = 0.001
+#: A given name or nickname is known if so many spellings show it; a given name, too, if it isn't shown as a surname more often.
+SHOWN = 2
+#: A word of bodies is a common one from this share of them; so there are at most 100.
+COMMON = 0.01
 
 
 @lru_cache
@@ -109,12 +112,12 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"[a-z]+(?:['’-][a-z]+)*\.?", text)
 
 
-def parse(name: str | None, known: frozenset[str] = frozenset()) -> dict:
+def parse(name: str | None, turned: bool = False) -> dict:
     """kind (person, body or none), surname, given, nick, middle and words of a spelling; shown: the given name is certain.
 
-    known: given names, to tell "Given Surname" from "Surname Given".
+    ends: the first and last word of a person's name without a comma; turned: its last word is the given name.
     """
-    out = {"kind": "none", "surname": "", "given": "", "nick": "", "middle": "", "words": [], "shown": False}
+    out = {"kind": "none", "surname": "", "given": "", "nick": "", "middle": "", "words": [], "shown": False, "ends": []}
     text = fold(name or "")
     quoted = re.search(r"[\"“'‘]([a-z]+)[\"”'’](?=\s|$)", text)
     nick = quoted[1] if quoted else ""
@@ -133,7 +136,7 @@ def parse(name: str | None, known: frozenset[str] = frozenset()) -> dict:
     every = [t for p in parts for t in p]
     if not every or all(t in NOBODY for t in every):
         return out
-    shown = False
+    shown, ends = False, []
     if len(parts) > 1 and parts[1]:
         surname, rest, shown = " ".join(parts[0]), parts[1], len(parts[1][0]) > 1
     elif len(every) == 1:
@@ -144,16 +147,18 @@ def parse(name: str | None, known: frozenset[str] = frozenset()) -> dict:
             return out
         if len(long) == 1:
             surname, rest = long[0], [t for t in every if len(t) == 1]
-        elif long[-1] in known and long[0] not in known and len(every[-1]) > 1:
-            surname, rest = every[0], [every[-1], *every[1:-1]]
-        elif long[-1] in known and long[0] not in known:
-            surname, rest = every[0], every[1:]
         else:
-            at = max(i for i, t in enumerate(every) if len(t) > 1)
-            surname, rest = every[at], every[:at]
+            ends = [long[0], long[-1]]
+            if turned and len(every[-1]) > 1:
+                surname, rest = every[0], [every[-1], *every[1:-1]]
+            elif turned:
+                surname, rest = every[0], every[1:]
+            else:
+                at = max(i for i, t in enumerate(every) if len(t) > 1)
+                surname, rest = every[at], every[:at]
     dotted = re.findall(r"\b([a-z])\.?\s?([a-z])\.(?=\s|$)", text) if rest and len(rest[0]) == 1 else []
     middle = next((t[0] for t in rest[1:] if t), "") or (dotted[0][1] if dotted and not rest[1:] else "")
-    return out | {"kind": "person", "surname": surname, "given": rest[0] if rest else "", "nick": nick, "middle": middle, "shown": shown or bool(nick)}
+    return out | {"kind": "person", "surname": surname, "given": rest[0] if rest else "", "nick": nick, "middle": middle, "shown": shown or bool(nick), "ends": ends}
 
 
 def distance(a: str, b: str, most: int = 3) -> int:
@@ -196,27 +201,30 @@ def _abbreviates(a: str, b: str) -> bool:
     return b.startswith(a)
 
 
-def given_similarity(a: str, b: str, pairs: frozenset[tuple[str, str]], known: frozenset[str]) -> float:
-    """1 for equal, less for initial, nickname, abbreviation or misspelling; 0 for names that contradict each other."""
-    if a == b:
+def given_similarity(a: dict, b: dict) -> float:
+    """1 for equal given names, less for initial, nickname, abbreviation or misspelling; 0 for names that contradict each other.
+
+    a and b have given, formals (what it may be a nickname of) and known (whether it is a known given name).
+    """
+    x, y = a["given"], b["given"]
+    if x == y:
         return 1.0
-    if len(a) == 1 or len(b) == 1:
-        short, long = sorted((a, b), key=len)
-        formals = {f for f, n in pairs if n == long} | {long}
-        return 0.8 if any(x[0] == short for x in formals) else 0.0
-    fa, fb = ({f for f, n in pairs if n == x} | {x} for x in (a, b))
+    fa, fb = {x, *a["formals"]}, {y, *b["formals"]}
+    if len(x) == 1 or len(y) == 1:
+        short, formals = (x, fb) if len(x) <= len(y) else (y, fa)
+        return 0.8 if any(f[0] == short for f in formals) else 0.0
     if fa & fb:
         return 0.95
-    if _abbreviates(a, b) and len(min(a, b, key=len)) >= 3:
+    if _abbreviates(x, y) and len(min(x, y, key=len)) >= 3:
         return 0.9
-    if a in known and b in known:
+    if a["known"] and b["known"]:
         return 0.0
     best = 0.0
-    for x in fa:
-        for y in fb:
-            d = distance(x, y)
-            if d <= (1 if min(len(x), len(y)) < 7 else 2) and min(len(x), len(y)) >= 4:
-                best = max(best, 1 - d / max(len(x), len(y)))
+    for f in fa:
+        for g in fb:
+            d = distance(f, g)
+            if d <= (1 if min(len(f), len(g)) < 7 else 2) and min(len(f), len(g)) >= 4:
+                best = max(best, 1 - d / max(len(f), len(g)))
     return best
 
 
@@ -240,18 +248,18 @@ def body_similarity(a: list[str], b: list[str], weight) -> float:
     return 0.0 if len(used) < len(set(b)) else got / total if total else 0.0
 
 
-def person_similarity(a: dict, b: dict, pairs: frozenset[tuple[str, str]], known: frozenset[str], weight) -> float:
+def person_similarity(a: dict, b: dict, weight) -> float:
     """Soft weighted similarity of two persons' names; what one of them lacks doesn't count, what contradicts gives 0."""
     d = distance(a["surname"], b["surname"])
     most = allowed(a["surname"], b["surname"])
-    if most == 1 and a["given"] and b["given"] and given_similarity(a["given"], b["given"], pairs, known) >= 0.95:
+    if most == 1 and a["given"] and b["given"] and given_similarity(a, b) >= 0.95:
         most = 2
     if d > most or (d > 1 and a["surname"][0] != b["surname"][0]):
         return 0.0
     ws = max(weight(a["surname"]), weight(b["surname"]))
     total, got = ws, ws * (1 - d / max(len(a["surname"]), len(b["surname"])))
     if a["given"] and b["given"]:
-        s = given_similarity(a["given"], b["given"], pairs, known)
+        s = given_similarity(a, b)
         if not s:
             return 0.0
         w = max(weight(a["given"]), weight(b["given"])) if min(len(a["given"]), len(b["given"])) > 1 else 1.0
@@ -265,14 +273,17 @@ def person_similarity(a: dict, b: dict, pairs: frozenset[tuple[str, str]], known
     return got / total
 
 
-_FORM = "surname string, given string, nick string, middle string, words array<string>, kind string, shown boolean"
+_FORM = "surname string, given string, nick string, middle string, words array<string>, kind string, shown boolean, ends array<string>"
+
 
+def _parsed(names: DataFrame) -> DataFrame:
+    """names (scope, name) or (scope, name, turned) in parts, without those that name nobody."""
 
-def _parsed(names: DataFrame, known: frozenset[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [parse(n, known) for n in f["name"]]
-            yield pd.concat([f[["scope", "name"]].reset_index(drop=True), pd.DataFrame(rows, columns=["surname", "given", "nick", "middle", "words", "kind", "shown"])], axis=1)
+            turned = f["turned"] if "turned" in f else [False] * len(f)
+            rows = [parse(n, bool(t)) for n, t in zip(f["name"], turned, strict=True)]
+            yield pd.concat([f[["scope", "name"]].reset_index(drop=True), pd.DataFrame(rows, columns=["surname", "given", "nick", "middle", "words", "kind", "shown", "ends"])], axis=1)
 
     return names.mapInPandas(run, f"scope string, name string, {_FORM}").where("kind <> 'none'")
 
@@ -350,18 +361,29 @@ def link_names(names: DataFrame) -> DataFrame:
     entity is the same for the spellings that mean the same one. A null scope is a scope of its own; null names are left out.
     """
     spelled = cut(names.select("scope", "name").where("name is not null").distinct())
-    first = cut(_parsed(spelled, frozenset()))
+    first = cut(_parsed(spelled))
+    fixed = names.sparkSession.createDataFrame(sorted(nickname_pairs()), "formal string, nick string")
+    learned = first.where("nick <> '' and length(given) > 1").groupBy(F.col("given").alias("formal"), "nick").count().where(F.col("count") >= SHOWN).select("formal", "nick")
+    pairs = cut(fixed.unionByName(learned).distinct())
     shown = first.where("shown and kind = 'person' and length(given) > 1")
-    known = frozenset(w for w, _ in _frequent(shown.select("given"), KNOWN_SHARE)) | {f for f, _ in nickname_pairs()}
-    learned = _frequent(first.where("nick <> '' and length(given) > 1").select("given", "nick"), KNOWN_SHARE)
-    pairs = nickname_pairs() | {(g, n) for g, n, _ in learned}
-    sure = frozenset(known) | {n for _, n in pairs}
-    common = {w: n for w, n in _frequent(first.where("kind = 'body'").select(F.explode("words").alias("w")), 0.01)} | dict.fromkeys(BODY_OF.values(), 1000)
+    as_given, as_surname = (shown.groupBy(F.col(c).alias("word")).agg(F.count("*").alias(c)) for c in ("given", "surname"))
+    sure = as_given.where(F.col("given") >= SHOWN).join(as_surname, "word", "left").where(F.col("given") >= F.coalesce("surname", F.lit(0))).select("word")
+    known = cut(sure.union(pairs.select("formal")).union(pairs.select("nick")).distinct().withColumn("known", F.lit(True)))
+    common = {w: n for w, n in _frequent(first.where("kind = 'body'").select(F.explode("words").alias("w")), COMMON)} | dict.fromkeys(BODY_OF.values(), 1000)
     commons = list(common)
-    parsed = _parsed(spelled, sure)
+    # "Surname Given" is told from "Given Surname" by which of the two words is a known given name
+    ends = first.where("size(ends) = 2").select("scope", "name", F.col("ends")[0].alias("head"), F.col("ends")[1].alias("tail"))
+    tails = ends.join(known.select(F.col("word").alias("tail")), "tail", "left_semi").join(known.select(F.col("word").alias("head")), "head", "left_anti").select("scope", "name", F.lit(True).alias("turned"))
+    same = spelled["scope"].eqNullSafe(tails["scope"]) & (spelled["name"] == tails["name"])
+    parsed = _parsed(spelled.join(tails, same, "left").select(spelled["scope"], spelled["name"], F.coalesce("turned", F.lit(False)).alias("turned")))
     key = F.xxhash64("scope", "kind", "surname", "given", "middle", F.concat_ws(" ", "words"))
     parsed = cut(parsed.withColumn("form", key).withColumn("scope", F.coalesce("scope", F.lit(""))))
     forms = parsed.dropDuplicates(["form"]).select("form", "scope", "kind", "surname", "given", "middle", "words")
+    # what is known of each given name: whether it is one, what it may stand for, and how many have it
+    of_nick = pairs.groupBy(F.col("nick").alias("given")).agg(F.sort_array(F.collect_set("formal")).alias("formals"))
+    givens = parsed.where("length(given) > 1").groupBy("given").agg(F.count("*").alias("given_df"))
+    forms = forms.join(of_nick, "given", "left").join(known.withColumnRenamed("word", "given"), "given", "left").join(givens, "given", "left")
+    forms = cut(forms.withColumn("formals", F.coalesce("formals", F.array().cast("array<string>"))).withColumn("known", F.coalesce("known", F.lit(False))).withColumn("given_df", F.coalesce("given_df", F.lit(1))))
     rare = F.array_except("words", F.lit(commons)) if commons else F.col("words")
     rare = F.when(F.size(rare) > 0, rare).otherwise(F.col("words"))
     keyed = forms.withColumn("token", F.explode(F.when(F.col("kind") == "person", F.array("surname")).otherwise(rare)))
@@ -380,28 +402,28 @@ def link_names(names: DataFrame) -> DataFrame:
     full = lambda s: (F.col(f"kind_{s}") == "body") | (F.length(f"given_{s}") > 1)
     # full names are compared once; partial ones are compared with every other name, as the first of the two
     cand = cand.where((full("a") & full("b") & (F.col("form_a") < F.col("form_b"))) | (~full("a") & (F.col("form_a") != F.col("form_b"))))
-    given_count = {w: n for w, n in _frequent(parsed.where("length(given) > 1").select("given"), KNOWN_SHARE)}
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import math
 
-        counts = given_count | common
+        parts = ("surname", "given", "middle", "formals", "known")
         for f in frames:
             got = []
-            for r in f.itertuples(index=False):
-                weight = lambda w: math.log(1 + n_forms / counts.get(w, max(r.df_a, r.df_b) if w in (r.token_a, r.token_b) else 1))  # noqa: E731, B023
-                if r.kind == "body":
-                    score, apart = body_similarity(list(r.words_a), list(r.words_b), weight), 0
+            for r in f.to_dict("records"):
+                df = max(r["df_a"], r["df_b"])
+                counts = {r["given_b"]: r["given_df_b"], r["given_a"]: r["given_df_a"], r["token_a"]: df, r["token_b"]: df} | ({} if r["kind"] == "person" else common)
+                weight = lambda w: math.log(1 + n_forms / counts.get(w, 1))  # noqa: E731, B023
+                if r["kind"] == "body":
+                    got.append((body_similarity(list(r["words_a"]), list(r["words_b"]), weight), 0))
                 else:
-                    x, y = ({"surname": t[0], "given": t[1], "middle": t[2]} for t in ((r.surname_a, r.given_a, r.middle_a), (r.surname_b, r.given_b, r.middle_b)))
-                    score, apart = person_similarity(x, y, pairs, sure, weight), distance(r.surname_a, r.surname_b)
-                got.append((score, apart))
+                    x, y = ({p: r[f"{p}_{s}"] for p in parts} for s in "ab")
+                    got.append((person_similarity(x, y, weight), distance(x["surname"], y["surname"])))
             out = f[["form_a", "form_b", "rank_a", "rank_b"]].copy()
             out["score"], out["apart"] = [s for s, _ in got], [d for _, d in got]
             yield out[out["score"] >= NAME_SIMILARITY]
 
     rank = lambda s: F.when(full(s), 2).when(F.length(f"given_{s}") == 1, 1).otherwise(0)
-    wanted = ["form_a", "form_b", "kind", "surname_a", "surname_b", "given_a", "given_b", "middle_a", "middle_b", "words_a", "words_b", "token_a", "token_b", "df_a", "df_b"]
+    wanted = ["kind", *[f"{c}_{s}" for c in ("form", "surname", "given", "middle", "words", "token", "df", "formals", "known", "given_df") for s in "ab"]]
     links = cut(
         cand.select(*wanted, rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInPandas(compare, "form_a long, form_b long, rank_a int, rank_b int, score double, apart int").distinct()
     )
