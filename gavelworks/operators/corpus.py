@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gavelworks.functions.text import half_up, word_count
+from gavelworks.functions.text import half_up, split_sentences, word_count
 from gavelworks.storage import cut
 
 #: Sizes in estimated tokens, and words that a chunk carries over from the one before.
 TARGET, MOST, OVERLAP_WORDS = 400, 500, 40
+#: The mark before what a chunk carries over from the one before.
+CARRIED = "[…]"
 #: A run of chunks with more estimated tokens is halved.
 MOST_TOKENS = 700
 
@@ -131,69 +134,73 @@ def _cost(words: int) -> int:
 
 
 class _Packing:
-    """The rule of chunk(): which parts of segments close a chunk, from the number of words that it holds."""
+    """The rule of chunk(): which parts of segments close a chunk, from the tokens that it holds."""
 
     def __init__(self, target: int, most: int):
         self.target, self.most, self.step = target, most, max(1, int(target / 1.3))
-        #: A chunk that is still open holds fewer words than this.
-        self.states = next(n for n in range(1, target + 2) if _cost(n) >= target)
-
-    def parts(self, n: int) -> list[int]:
-        """The words of each part of a segment of n words."""
-        if _cost(n) <= self.most:
-            return [n] if n else []
-        return [min(self.step, n - i) for i in range(0, n, self.step)]
-
-    def add(self, held: int, n: int) -> tuple[bool, bool, int]:
-        """Whether the chunk closes before a part of n words, whether one closes after it, and the words held then."""
-        before = held > 0 and _cost(held + n) > self.most
-        held = n if before else held + n
-        after = _cost(held) >= self.target
+        #: A chunk that is still open holds 0 to `most` tokens.
+        self.states = most + 1
+
+    def parts(self, text: str | None) -> list[tuple[list[str], int, bool]]:
+        """(words, tokens, whether it ends a sentence) of each part of a text: one, or if it exceeds the most, its sentences (cut, if need be) grouped up to the target."""
+        words = text.split() if isinstance(text, str) else []
+        groups = [words] if words else []
+        if _cost(len(words)) > self.most:
+            groups, held = [[]], 0
+            for sentence in re.split(r"(?<=[.!?])\s+", text):
+                own = sentence.split()
+                whole = _cost(len(own)) <= self.target
+                for unit in [own] if whole else [own[i : i + self.step] for i in range(0, len(own), self.step)]:
+                    if groups[-1] and held + _cost(len(unit)) > self.target:
+                        groups.append([])
+                        held = 0
+                    groups[-1].extend(unit)
+                    held += _cost(len(unit))
+        return [(g, _cost(len(g)), g[-1][-1] in ".!?") for g in groups if g]
+
+    def add(self, held: int, tokens: int, ends: bool) -> tuple[bool, bool, int]:
+        """Whether the chunk closes before a part of so many tokens, whether it closes after it, and the tokens held then."""
+        before = held > 0 and held + tokens > self.most
+        held = tokens if before else held + tokens
+        after = held >= self.target and ends
         return before, after, 0 if after else held
 
 
 def _outcomes(packing: _Packing):
-    """(pid, first, last, held, closed, table) of each partition, whose rows (pid, doc, text) are in order: the words held and chunks closed after its last document, if that begins here; table has both for each number of words held before, if it is the only one."""
+    """(pid, first, last, held, closed, table) of each partition, whose rows (pid, doc, text) are in order: the tokens held and chunks closed after its last document, if that begins here; table has both for each number of tokens held before, if it is the only one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, first, doc, held, closed = None, None, None, 0, 0
-        # the different paths (words held: chunks closed beyond those of its start) and where each start is
-        paths: list[list[int]] = []
-        at = list(range(packing.states))
-        starts: list[int] = []
+        # starts that have come to hold the same go on as one path: path[i] = [held, closed, starts], a start's own lead in closed chunks beside it
+        paths: dict[int, list] = {}
         for f in frames:
             for p, d, text in zip(f["pid"].tolist(), f["doc"].tolist(), f["text"].tolist(), strict=True):
                 if pid is None:
                     pid, first, doc = p, d, d
-                    paths, starts = [[h, 0] for h in range(packing.states)], [0] * packing.states
+                    paths = {h: [(h, 0)] for h in range(packing.states)}
                 if d != doc:
-                    doc, held, closed, paths = d, 0, 0, []
-                for part in packing.parts(len(text.split()) if isinstance(text, str) else 0):
-                    before, after, held = packing.add(held, part)
+                    doc, held, closed, paths = d, 0, 0, {}
+                for _, tokens, ends in packing.parts(text):
+                    before, after, held = packing.add(held, tokens, ends)
                     closed += before + after
-                    for path in paths:
-                        b, a, path[0] = packing.add(path[0], part)
-                        path[1] += b + a
-                    if len({path[0] for path in paths}) < len(paths):
-                        # paths that hold the same go on as one
-                        kept: dict[int, int] = {}
-                        for i, (h, _) in enumerate(paths):
-                            kept.setdefault(h, i)
-                        number = {i: k for k, i in enumerate(kept.values())}
-                        joined = [kept[h] for h, _ in paths]
-                        for s, i in enumerate(at):
-                            starts[s] += paths[i][1] - paths[joined[i]][1]
-                            at[s] = number[joined[i]]
-                        paths = [paths[i] for i in number]
+                    moved: dict[int, list] = {}
+                    for h, starts in paths.items():
+                        b, a, now = packing.add(h, tokens, ends)
+                        gained = b + a
+                        moved.setdefault(now, []).extend([(s, n + gained) for s, n in starts] if gained else starts)
+                    paths = moved
         if pid is not None:
-            table = [x for s, i in enumerate(at) for x in (paths[i][0], starts[s] + paths[i][1])] if paths else []
+            table = [0] * (2 * packing.states) if paths else []
+            for h, starts in paths.items():
+                for s, n in starts:
+                    table[2 * s], table[2 * s + 1] = h, n
             yield pd.DataFrame({"pid": [pid], "first": [first], "last": [doc], "held": [held], "closed": [closed], "table": [table]})
 
     return run
 
 
 def _carried(outcomes: list) -> dict[int, tuple[int, int]]:
-    """Of each partition, the words held and the chunks closed already of its first document."""
+    """Of each partition, the tokens held and the chunks closed already of its first document."""
     found, last, state = {}, None, (0, 0)
     for o in sorted(outcomes, key=lambda o: o["pid"]):
         held, closed = state if o["first"] == last else (0, 0)
@@ -203,82 +210,96 @@ def _carried(outcomes: list) -> dict[int, tuple[int, int]]:
     return found
 
 
-def _pieces(packing: _Packing, carried: dict[int, tuple[int, int]], overlap: int):
-    """(doc, chunk_index, pid, own, tail, said, start, end, n) of what each partition has of a chunk; said: the speaker of each part. A row without words hands the last ones on as the next chunk's tail."""
-    columns = ["doc", "chunk_index", "pid", "own", "tail", "said", "start", "end", "n"]
+_PIECE = "doc string, chunk_index int, pid int, own string, said array<string>, start double, end double, n int, trust double, trusted int, source string"
+
+
+def _pieces(packing: _Packing, carried: dict[int, tuple[int, int]]):
+    """What each partition has of a chunk (_PIECE). said: the speaker of each part; trust: the sum of confidence over its `trusted` parts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, held, index, pid = None, 0, 0, None
-        words, said, times = [], [], []
+        words, said, times, trust, sources = [], [], [], [], []
         out: list[tuple] = []
 
         def close() -> None:
             if words:
-                out.append((doc, index, pid, " ".join(words), None, said.copy(), min(times, default=None), max(times, default=None), len(words)))
-                if overlap:
-                    out.append((doc, index + 1, pid, None, " ".join(words[-overlap:]), [], None, None, 0))
-            words.clear(), said.clear(), times.clear()
+                out.append((doc, index, pid, " ".join(words), said.copy(), min(times, default=None), max(times, default=None), len(words), float(sum(trust)), len(trust), min(sources, default=None)))
+            for x in (words, said, times, trust, sources):
+                x.clear()
 
         for f in frames:
-            for p, d, text, by, start, end in zip(*(f[c].tolist() for c in ("pid", "doc", "text", "speaker", "start", "end")), strict=True):
+            for p, d, text, by, start, end, sure, source in zip(*(f[c].tolist() for c in ("pid", "doc", "text", "speaker", "start", "end", "confidence", "source")), strict=True):
                 if pid is None:
                     pid, doc = p, d
                     held, index = carried[p]
                 if d != doc:
                     close()
                     doc, held, index = d, 0, 0
-                every, i = text.split() if isinstance(text, str) else [], 0
-                for n in packing.parts(len(every)):
-                    before, after, held = packing.add(held, n)
+                for part, tokens, ends in packing.parts(text):
+                    before, after, held = packing.add(held, tokens, ends)
                     if before:
                         close()
                         index += 1
-                    words.extend(every[i : i + n])
-                    i += n
+                    words.extend(part)
                     times.extend(t for t in (start, end) if t == t and t is not None)
+                    trust.extend([sure] if sure == sure and sure is not None else [])
+                    sources.extend([source] if isinstance(source, str) else [])
                     if isinstance(by, str) and by:
                         said.append(by)
                     if after:
                         close()
                         index += 1
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
             out.clear()
         close()
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
 
     return run
 
 
 def chunk(segments: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Segments (doc, start, end, text, speaker) packed in order into chunks: (doc, chunk_index, text, speaker, start_time, end_time, n_words, token_count).
+    """Segments (doc, start, end, text, speaker) packed in order into chunks: (doc, chunk_id, chunk_index, text, speaker, start_time, end_time, n_words, token_count, quality_score, source_type, total_chunks).
 
-    A chunk closes at `target` estimated tokens, or before a segment that would take it past `most`; it begins with the last words
-    of the chunk before. A segment past `most` is cut. Null and blank texts are skipped. A segment without a start has that of the time in its text,
-    else its end, else comes last. Segments of one time are ordered by text and speaker; by a column `seq` first, if there is one, and
-    then repeated segments count once.
+    A chunk closes at the end of a sentence once it holds `target` estimated tokens, or before a part that would take it past `most`. It begins, after a mark, with the
+    last sentence of the chunk before (of at most `overlap` words; the end of the whole text where it is one sentence). A segment past `most` is split at its sentences, or else words.
+    Null and blank texts are skipped. speaker is the most frequent one, the first in a tie; quality is the mean of a column `confidence`, less for recognised speech (column `source`) without a speaker.
+    A segment without a start has that of the time in its text, else its end, else comes last. Segments of one time are ordered by text and speaker; by a column
+    `seq` first, if there is one, and then repeated segments count once.
 
-    Rows are spread by document and time, so that a long document has several stretches. What a stretch makes of each number of words that the chunk
+    Rows are spread by document and time, so that a long document has several stretches. What a stretch makes of each number of tokens that the chunk
     before it may hold is found first; with what each is handed on, all stretches are then packed at once.
     """
     packing = _Packing(target, most)
-    seq = F.col("seq") if "seq" in segments.columns else F.lit(None).cast("long")
-    own = segments.where("doc is not null").select("doc", F.coalesce("start", text_start(F.col("text")), "end").cast("double").alias("start"), F.col("end").cast("double").alias("end"), seq.alias("seq"), "text", "speaker")
-    order = [F.col(c).asc_nulls_last() for c in ("doc", "start", "end", "seq", "text", "speaker")]
+    given = lambda c, kind: (F.col(c) if c in segments.columns else F.lit(None)).cast(kind).alias(c)
+    own = segments.where("doc is not null").select(
+        "doc", F.coalesce("start", text_start(F.col("text")), "end").cast("double").alias("start"), F.col("end").cast("double").alias("end"), given("seq", "long"), "text", "speaker", given("confidence", "double"), given("source", "string")
+    )
+    order = [F.col(c).asc_nulls_last() for c in ("doc", "start", "end", "seq", "text", "speaker", "confidence", "source")]
     dealt = own.repartitionByRange(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
     # equal rows lie together, so this takes no further exchange
     once = dealt.distinct() if "seq" in segments.columns else dealt
     placed = cut(once.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     outcomes = placed.select("pid", "doc", "text").mapInPandas(_outcomes(packing), "pid int, first string, last string, held int, closed int, table array<int>").collect()
-    pieces = placed.mapInPandas(_pieces(packing, _carried(outcomes), overlap), "doc string, chunk_index int, pid int, own string, tail string, said array<string>, start double, end double, n int")
-    parts = F.array_sort(F.collect_list(F.struct("pid", "own", "tail", "said")))
-    whole = pieces.groupBy("doc", "chunk_index").agg(parts.alias("p"), F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.sum("n").cast("int").alias("n_words")).where("n_words > 0")
+    pieces = placed.mapInPandas(_pieces(packing, _carried(outcomes)), _PIECE)
+    parts = F.array_sort(F.collect_list(F.struct("pid", "own", "said")))
+    whole = pieces.groupBy("doc", "chunk_index").agg(
+        parts.alias("p"), F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.sum("n").cast("int").alias("n_words"), F.sum("trust").alias("trust"), F.sum("trusted").alias("trusted"), F.min("source").alias("source_type")
+    )
     said = F.flatten(F.col("p.said"))
     often = F.transform(F.array_distinct(said), lambda x, i: F.struct(F.size(F.filter(said, lambda y: y == x)), -i, x.alias("speaker")))
-    before = F.filter(F.split(F.array_join("p.tail", " "), " "), lambda w: w != "")
-    tail = F.slice(before, F.greatest(F.size(before) - overlap + 1, F.lit(1)), overlap)
-    whole = whole.select("doc", "chunk_index", tail.alias("tail"), F.array_join("p.own", " ").alias("own"), F.array_max(often)["speaker"].alias("speaker"), "start_time", "end_time", "n_words")
-    text = F.when(F.size("tail") > 0, F.concat_ws(" ", F.array_join("tail", " "), "own")).otherwise(F.col("own"))
-    return whole.select("doc", "chunk_index", text.alias("text"), "speaker", "start_time", "end_time", "n_words", F.floor((F.col("n_words") + F.size("tail")) * 1.3).cast("int").alias("token_count"))
+    whole = cut(whole.select("doc", "chunk_index", F.array_join("p.own", " ").alias("own"), F.array_max(often)["speaker"].alias("speaker"), "start_time", "end_time", "n_words", (F.col("trust") / F.nullif("trusted", F.lit(0))).alias("trust"), "source_type"))
+    last = F.split(F.try_element_at(split_sentences(F.col("own")), F.lit(-1)), " ")
+    tail = F.array_join(F.slice(last, F.greatest(F.size(last) - overlap + 1, F.lit(1)), max(overlap, 1)), " ")
+    before = whole.select("doc", (F.col("chunk_index") + 1).alias("chunk_index"), tail.alias("tail")) if overlap else whole.select("doc", "chunk_index", F.lit(None).cast("string").alias("tail")).limit(0)
+    total = whole.groupBy("doc").agg(F.count("*").cast("int").alias("total_chunks"))
+    text = F.when(F.col("tail").isNotNull(), F.concat_ws(" ", F.lit(CARRIED), "tail", "own")).otherwise(F.col("own"))
+    quality = F.coalesce("trust", F.lit(0.5)) * F.when(F.col("speaker").isNull() & (F.col("source_type") == "whisperx_asr"), 0.85).otherwise(1.0)
+    full = whole.join(before, ["doc", "chunk_index"], "left").join(total, "doc").withColumn("text", text)
+    number = F.col("chunk_index") + 1
+    return full.select(
+        "doc", F.concat("doc", F.format_string("_%04d", number)).alias("chunk_id"), number.alias("chunk_index"), "text", "speaker", half_up(F.col("start_time"), 3).alias("start_time"), half_up(F.col("end_time"), 3).alias("end_time"),
+        "n_words", F.floor(word_count(F.col("text")) * 1.3).cast("int").alias("token_count"), half_up(quality, 4).alias("quality_score"), "source_type", "total_chunks",
+    )
 
 
 def normal(c: Column) -> Column:

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Typographic marks and what they stand for, the least length of a quotation, the mark of text carried over, and the length of a preview.
+from gavelworks.operators.corpus import CARRIED
+
+#: Typographic marks and what they stand for, the least length of a quotation, and the length of a preview.
 MARKS = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "—": "-", "‒": "-", "―": "-", " ": " ", "…": "..."}
-LEAST_QUOTE, CARRIED, PREVIEW = 12, "[…]", 500
+LEAST_QUOTE, PREVIEW = 12, 500
 
 
 def normal_form(text: str | None) -> tuple[str, np.ndarray]:

@@ -120,7 +120,8 @@ def _previews(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chunked(spark: SparkSession, folder: str) -> DataFrame:
     own = table(spark, folder, "cleaned_segments")
-    return C.chunk(own.select(F.col("video_id").alias("doc"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("segment_id").alias("seq"), "text", "speaker"))
+    renamed = {"video_id": "doc", "start_time": "start", "end_time": "end", "segment_id": "seq", "source_type": "source"}
+    return C.chunk(own.select("text", "speaker", "confidence", *[F.col(a).alias(b) for a, b in renamed.items()])).withColumnRenamed("doc", "video_id")
 
 
 def _captions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

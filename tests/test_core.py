@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import date
 
 import pandas as pd
@@ -42,39 +43,71 @@ def test_windows_merge_like_ranges(spark):
     assert got == [(0, 3, 1), (6, 14, 3)]
 
 
+SEGMENTS = "doc string, start double, end double, text string, speaker string, confidence double, source string"
+
+
 def test_chunks_hold_every_word_once_besides_the_overlap(spark):
-    rows = [("v", float(i), i + 1.0, " ".join(f"w{i}_{j}" for j in range(30 * (i % 4))), "a" if i % 3 else None) for i in range(20)] + [("v", 50.0, 51.0, " ".join(f"z{j}" for j in range(2000)), "b"), ("v", 60.0, 61.0, None, None)]
-    got = corpus.chunk(spark.createDataFrame(rows, "doc string, start double, end double, text string, speaker string"), overlap=0).orderBy("chunk_index").collect()
+    rows = [("v", float(i), i + 1.0, " ".join(f"w{i}_{j}" for j in range(30 * (i % 4))), "a" if i % 3 else None, 0.5, None) for i in range(20)] + [("v", 50.0, 51.0, " ".join(f"z{j}" for j in range(2000)), "b", None, None), ("v", 60.0, 61.0, None, None, None, None)]
+    got = corpus.chunk(spark.createDataFrame(rows, SEGMENTS), overlap=0).orderBy("chunk_index").collect()
     assert " ".join(r.text for r in got).split() == " ".join(r[3] for r in rows if r[3]).split()
-    assert all(r.token_count <= 500 for r in got)
-    tail = corpus.chunk(spark.createDataFrame(rows, "doc string, start double, end double, text string, speaker string"), overlap=5).orderBy("chunk_index").collect()
-    assert tail[1].text.split()[:5] == tail[0].text.split()[-5:]
+    assert all(r.token_count <= 500 and r.total_chunks == len(got) for r in got) and got[0].chunk_id == "v_0001"
+    tail = corpus.chunk(spark.createDataFrame(rows, SEGMENTS), overlap=5).orderBy("chunk_index").collect()
+    assert tail[1].text.split()[:6] == ["[…]", *tail[0].text.split()[-5:]]
+
+
+def plain_parts(text):
+    """Parts of an oversized text: sentences (cut at 307 words) grouped up to 400 tokens."""
+    if int(len(text.split()) * 1.3) <= 500:
+        return [text.split()] if text.split() else []
+    units = []
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        words = sentence.split()
+        units += [words] if int(len(words) * 1.3) <= 400 else [words[i : i + 307] for i in range(0, len(words), 307)]
+    groups, held = [], 0
+    for unit in units:
+        if groups and held + int(len(unit) * 1.3) <= 400:
+            groups[-1] = groups[-1] + unit
+            held += int(len(unit) * 1.3)
+        else:
+            groups.append(unit)
+            held = int(len(unit) * 1.3)
+    return groups
 
 
 def test_chunks_go_on_across_stretches_and_keep_segments_without_a_start(spark):
     rng = random.Random(5)
-    rows = [("v" if i % 9 else "u", float(i), i + 1.0, " ".join(f"w{i}_{j}" for j in range(rng.choice([0, 3, 17, 60, 190, 420]))), rng.choice(["a", "b", None])) for i in range(300)]
-    late = [("v", None, 500.0, "[00:00:50] fifty", "c"), ("v", None, 120.0, "none", "c"), ("v", None, None, "last", None)]
-    df = spark.createDataFrame(rows + late, "doc string, start double, end double, text string, speaker string")
+    sentence = lambda i, n: " ".join(f"w{i}_{j}" + rng.choice(["", "", "", "", ".", "?"]) for j in range(n))
+    rows = [("v" if i % 9 else "u", float(i), i + 1.0, sentence(i, rng.choice([0, 3, 17, 60, 190, 420])), rng.choice(["a", "b", None]), rng.choice([0.2, 0.8, None]), "whisperx_asr") for i in range(300)]
+    late = [("v", None, 500.0, "[00:00:50] fifty.", "c", 1.0, None), ("v", None, 120.0, "none", "c", 1.0, None), ("v", None, None, "last", None, 1.0, None)]
+    df = spark.createDataFrame(rows + late, SEGMENTS)
     got = corpus.chunk(df, overlap=7).orderBy("doc", "chunk_index").collect()
     for doc in "uv":
         # packed again by hand, in one go
-        said = sorted([(50.0 if "fifty" in r[3] else 120.0 if r[3] == "none" else 1e9 if r[1] is None else r[1], r[2] or 1e9, r[3].split()) for r in rows + late if r[0] == doc], key=lambda r: r[:2])
+        said = sorted([(50.0 if "fifty" in r[3] else 120.0 if r[3] == "none" else 1e9 if r[1] is None else r[1], r[2] or 1e9, r) for r in rows + late if r[0] == doc], key=lambda r: r[:2])
         want, held = [], []
-        for *_, words in said:
-            for part in [words[i : i + 307] for i in range(0, len(words), 307)] if int(len(words) * 1.3) > 500 else [words]:
-                if held and part and int((len(held) + len(part)) * 1.3) > 500:
+        cost = lambda parts: sum(int(len(p) * 1.3) for p, _ in parts)
+        for *_, r in said:
+            for part in plain_parts(r[3]):
+                if held and cost([*held, (part, r)]) > 500:
                     want.append(held)
                     held = []
-                held = held + part
-                if int(len(held) * 1.3) >= 400:
+                held = [*held, (part, r)]
+                if cost(held) >= 400 and part[-1][-1] in ".?!":
                     want.append(held)
                     held = []
         want += [held] if held else []
         mine = [r for r in got if r.doc == doc]
-        assert [r.chunk_index for r in mine] == list(range(len(want)))
-        assert [r.text.split() for r in mine] == [(want[i - 1][-7:] if i else []) + w for i, w in enumerate(want)]
+        assert [r.chunk_index for r in mine] == list(range(1, len(want) + 1))
+        words = [[w for p, _ in c for w in p] for c in want]
+        tails = [re.split(r"(?<=[.!?]) ", " ".join(w))[-1].split()[-7:] for w in words]
+        assert [r.text.split() for r in mine] == [(["[…]", *tails[i - 1]] if i else []) + w for i, w in enumerate(words)]
         assert [r.token_count for r in mine] == [int(len(r.text.split()) * 1.3) for r in mine]
+        for r, c in zip(mine, want, strict=True):
+            sure = [s[5] for _, s in c if s[5] is not None]
+            by = [s[4] for _, s in c if s[4]]
+            asr = any(s[6] for _, s in c)
+            assert r.speaker == (max(by, key=lambda x: (by.count(x), -by.index(x))) if by else None)
+            assert abs(r.quality_score - (sum(sure) / len(sure) if sure else 0.5) * (0.85 if asr and not by else 1)) < 1e-4
     assert corpus.chunk(df.limit(0)).count() == 0
 
 
