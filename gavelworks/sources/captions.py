@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelworks.functions.text import clock, seconds
+from gavelworks.functions.text import clock, seconds, token_estimate, word_count
 
 CHUNK = "chunk_id string, chunk_index int, video_id string, school_slug string, text string, speaker string, start_time double, end_time double, token_count int, quality_score double"
 RECOGNISED = "segments array<struct<start: double, end: double, text: string, avg_logprob: double, speaker: string>>"
@@ -47,6 +47,37 @@ def events_to_vtt(texts: DataFrame, id_col: str, start: Column) -> DataFrame:
     return texts.select(id_col, F.concat_ws("\n\n", F.array(F.lit("WEBVTT")), cues).alias("vtt"))
 
 
+def best_track(tracks: Column) -> Column:
+    """Of caption tracks (language, generated): the first typed English one, else generated English, else any typed, else any generated that is no live chat; null without one."""
+    english = lambda t: t["language"].isin("en", "en-US", "en-GB")
+    ranks = [lambda t: ~t["generated"] & english(t), lambda t: t["generated"] & english(t), lambda t: ~t["generated"], lambda t: t["generated"] & (t["language"] != "live_chat")]
+    return F.coalesce(*[F.try_element_at(F.filter(tracks, test), F.lit(1)) for test in ranks])
+
+
+def approved_track(tracks: Column) -> Column:
+    """Of caption tracks (src, srclang, state): the first approved English one, else the first approved; null without one."""
+    approved = F.filter(tracks, lambda t: t["state"] == "Approved")
+    return F.coalesce(F.try_element_at(F.filter(approved, lambda t: F.lower(t["srclang"]).startswith("en")), F.lit(1)), F.try_element_at(approved, F.lit(1)))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: Readers by the kind of source that a school names; each takes (id, text) rows and the name of the id.
+READERS = {"vtt": vtt_cues, "whisperx_asr": recognised_segments}
+
+
+def read_by_kind(texts: DataFrame, id_col: str, kind: str) -> DataFrame:
+    """Segments of texts by the reader of their kind; an unknown kind is an error that names the known ones."""
+    if kind not in READERS:
+        raise ValueError(f"unknown kind of captions {kind!r}; known are {', '.join(sorted(READERS))}")
+    return READERS[kind](texts, id_col)
+
+
 def chunk_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Chunks from JSON lines; malformed lines are dropped, or with strict fail the read."""
-    return spark.read.schema(CHUNK).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """Chunks from JSON lines, in order within a video; malformed lines are dropped, or with strict fail the read. A missing or zero token count is estimated."""
+    own = spark.read.schema(CHUNK).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    tokens = F.coalesce(F.nullif("token_count", F.lit(0)), F.greatest(F.lit(1), token_estimate(word_count(F.col("text")))))
+    return own.withColumn("token_count", tokens).sort("video_id", "chunk_index")
