@@ -31,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that cut() gave and that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, written once as a compressed table in the shared folder and read from there; deleted when the session's JVM ends.
 
