@@ -24,7 +24,7 @@ UNMATCHED = "unmatched"
 MIN_SCORE, MIN_WHOLE = 0.52, 0.5
 #: Words without meaning of their own in a category.
 FILLER = set("a al an and by de del el en etc for fund in item la las los of on or paid prog program rate rates the to w with y district cat fy bill bills no".split())
-#: Abbreviations, synonyms and Spanish words (before the colon) with words of the reference lists that they may stand for.
+#: Abbreviations, synonyms and Spanish words (before the colon) with words of the reference lists that they may stand for: the default of a parameter.
 THESAURUS = """
 acreditacion: accreditation; adultos: adult; alfabetizacion: literacy; arrendamiento: lease; auditoria: audit; becas: scholarships; biblioteca: library;
 bienestar: wellness; bonos: bond; bgt: budget; cap: capital; capacitacion: training; colaboracion: partnerships; compra: purchase; comunidad: community; comunitarias: community;

@@ -67,7 +67,7 @@ BODY_WORDS = {
     "institute": "inst",
 }
 BODY_OF = {a: k for k, v in BODY_WORDS.items() for a in [k, *v.split()]} | {"tf": "task force"}
-#: Nicknames (after the colon) of given names.
+#: Common English and Spanish nicknames (after the colon) of given names: the default of a parameter, to be replaced by a fuller table where there is one.
 NICKNAMES = """
 abigail: abby abbie gail; alexander: alex al sandy xander; alexandra: alex sandy; andrew: andy drew; anthony: tony; barbara: barb babs;
 barnaby: barney; benjamin: ben benny benji; catherine: cathy cate kitty; charles: charlie chuck chas; charlotte: charlie lottie char; christine: chris tina;
@@ -91,10 +91,11 @@ COMMON = 0.01
 
 
 @lru_cache
-def nickname_pairs() -> frozenset[tuple[str, str]]:
+def nickname_pairs(nicknames: str = NICKNAMES) -> frozenset[tuple[str, str]]:
+    """(formal, nickname) of entries "formal: nickname nickname", separated by semicolons."""
     found = set()
-    for entry in NICKNAMES.replace("\n", " ").split(";"):
-        formal, nicks = entry.split(":")
+    for entry in nicknames.replace("\n", " ").split(";"):
+        formal, _, nicks = entry.partition(":")
         found |= {(formal.strip(), n) for n in nicks.split()}
     return frozenset(found)
 
@@ -355,14 +356,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def link_names(names: DataFrame) -> DataFrame:
+def link_names(names: DataFrame, nicknames: str = NICKNAMES) -> DataFrame:
     """(scope, name, entity) of each distinct spelling of names (scope, name) that names a person or a body.
 
+    nicknames: a list of common nicknames, as nickname_pairs() reads it; those that spellings show are learned beside it.
+
     entity is the same for the spellings that mean the same one. A null scope is a scope of its own; null names are left out.
     """
     spelled = cut(names.select("scope", "name").where("name is not null").distinct())
     first = cut(_parsed(spelled))
-    fixed = names.sparkSession.createDataFrame(sorted(nickname_pairs()), "formal string, nick string")
+    fixed = names.sparkSession.createDataFrame(sorted(nickname_pairs(nicknames)), "formal string, nick string")
     learned = first.where("nick <> '' and length(given) > 1").groupBy(F.col("given").alias("formal"), "nick").count().where(F.col("count") >= SHOWN).select("formal", "nick")
     pairs = cut(fixed.unionByName(learned).distinct())
     shown = first.where("shown and kind = 'person' and length(given) > 1")
@@ -441,9 +444,9 @@ def link_names(names: DataFrame) -> DataFrame:
     return parsed.join(entity, parsed["form"] == entity["node"]).select("scope", "name", F.col("comp").alias("entity"))
 
 
-def variant_pairs(names: DataFrame) -> DataFrame:
+def variant_pairs(names: DataFrame, nicknames: str = NICKNAMES) -> DataFrame:
     """(scope, name_a, name_b), name_a < name_b: the different spellings of names (scope, name) that mean the same one."""
-    linked = cut(link_names(names))
+    linked = cut(link_names(names, nicknames))
     a = linked.select("scope", "entity", F.col("name").alias("name_a"))
     b = linked.select("scope", "entity", F.col("name").alias("name_b"))
     return a.join(b.hint("merge"), ["scope", "entity"]).where("name_a < name_b").select("scope", "name_a", "name_b").distinct()

@@ -37,6 +37,20 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(p6_pack(spark, folder), _specs(spark, folder))
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per spec what must not be: containers beyond their capacity, documents whose tokens aren't held exactly once, and documents cut though they fit."""
+    specs, sized = _specs(spark, folder), cut(_sized(spark, folder))
+    packed = cut(packing.pack(packing.pieces(sized, specs)))
+    held = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(specs), "spec_id")
+    over = held.groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.count_distinct("start_token").alias("starts"))
+    want = sized.where("n_tokens > 0").join(F.broadcast(specs), "tokenizer").select("spec_id", "doc_id", "n_tokens", "capacity")
+    both = want.join(docs, ["spec_id", "doc_id"], "full_outer")
+    wrong = F.coalesce((F.col("t") != F.col("n_tokens")) | (F.col("k") != F.col("starts")), F.lit(True))
+    judged = both.groupBy("spec_id").agg(F.count_if(wrong).alias("not_once"), F.count_if((F.col("n_tokens") <= F.col("capacity")) & (F.col("k") > 1)).alias("cut_needlessly"))
+    return specs.select("spec_id").join(over, "spec_id", "left").join(judged, "spec_id", "left").na.fill(0)
+
+
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
     first = _specs(spark, folder).agg(F.min("tokenizer")).first()[0]
     return mixing.mix(_sized(spark, folder).where(F.col("tokenizer") == first), table(spark, folder, "mix_targets"))
@@ -50,6 +64,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target source whether its share is missed by more than a hundredth, or a document is used more often than allowed."""
+    got = p7_shares(spark, folder)
+    return got.select("source", (F.abs(F.col("share_reached") - F.col("target_share")) > 0.01).alias("missed"), (F.col("most_copies") > F.col("max_repeats")).alias("overused"))
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(*[table(spark, folder, t) for t in ("documents", "subject_labels", "subject_areas")])
 
@@ -62,5 +82,8 @@ def p8_make_up(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.make_up(_subjects(spark, folder), table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_make_up": p8_make_up}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p6_pack": p6_pack, "p6_report": p6_report, "p6_invariants": p6_invariants, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_make_up": p8_make_up}
+SQL: dict[str, str] = {
+    "p6_invariants": "select distinct spec_id, 0::bigint as overfull, 0::bigint as not_once, 0::bigint as cut_needlessly from container_specs",
+    "p7_invariants": "select distinct source, false as missed, false as overused from mix_targets",
+}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gavelworks.storage import cut
+from gavelworks.storage import cut, drop
 
 SEED_ROUNDS, MIN_SENTENCES = 2, 2
 #: Rounds over all documents end when no more than this share of the labelled sentence forms changes; MOST_ROUNDS only guards against labels that swing for ever.
@@ -161,6 +161,8 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         best = cut(_best(form_terms, table))
         if settled is not None and _changed(settled, best) <= SETTLED:
             break
+        if settled is not None:
+            drop(settled)
         settled = best
         placed = cut(occurrences.join(best, "fid").select("tid", "fid", "subject", "n"))
         own = placed.join(_in_passing(placed, "fid"), "fid", "left_anti").select("tid", "fid", "subject")
@@ -177,7 +179,8 @@ def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[D
         lent = taken.join(whole, ["tid", "fid"]).groupBy("fid", "subject").agg(F.sum(F.lit(BORROWED) * F.col("p") / F.col("z")).alias("p"))
         given = own.groupBy("fid", "subject").agg(F.sum("p").alias("p"))
         said = cut(given.unionByName(lent))
-        table = cut(_term_table(form_terms.join(said, "fid").select("term", "subject", "p").unionByName(note_mentions), _base(own)))
+        before, table = table, cut(_term_table(form_terms.join(said, "fid").select("term", "subject", "p").unionByName(note_mentions), _base(own)))
+        drop(before, placed, own, mixture, taken, said)  # nothing reads the round's tables any more
     return docs, occurrences, all_terms, table
 
 
