@@ -47,6 +47,14 @@ NO_NAMES = (
     "planning development workforce continuing center program office institute college university district foundation council commission association organization coalition alliance network society academy"
 ).split()
 
+#: Words that end a position and are no surname.
+QUALIFIERS = (
+    "finance financial instruction instructional student affairs services development relations operations technology resources communication marketing research planning equity diversity "
+    "inclusion academic workforce continuing education enrollment information human facilities legal general external institutional advancement chancellor president dean director officer vice assistant "
+    "associate senior executive interim acting northwest northeast southwest southeast north south east west central online i ii iii major colonel lieutenant sergeant captain commander admiral corporal "
+    "private specialist warrant brigadier marshal commodore"
+).split()
+
 
 def answers(texts: DataFrame, id_col: str, keys: list[str], item: str) -> DataFrame:
     """(id, nth, item) of answers in JSON (id, text): a list, an object that wraps one under the first of keys that holds a list, or one object.
@@ -85,6 +93,14 @@ def bare_position(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s*\([^)]*\)", "")), "[.,;: ]+$", "")
 
 
+def split_position(c: Column) -> Column:
+    """(position, name): a surname at the end of a position (a capital word of three letters or more that no position ends with) taken off it; name is null without one."""
+    bare = F.trim(c)
+    last = F.regexp_extract(bare, r"\s(\S+)$", 1)
+    found = last.rlike(r"^\p{Lu}") & (F.length(last) > 2) & ~last.endswith(".") & ~F.lower(last).isin(*QUALIFIERS)
+    return F.struct(F.when(found, F.trim(F.regexp_replace(bare, r"\s\S+$", ""))).otherwise(c).alias("position"), F.when(found, last).alias("name"))
+
+
 def is_bare_title(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")).isin(*BARE_TITLES)
 

@@ -58,6 +58,14 @@ def mark_where(df: DataFrame, hits: DataFrame, key: str, column: str, value: str
     return marked.withColumn(column, F.when(F.col("_hit").isNotNull(), value).otherwise(F.col(column))).drop("_hit")
 
 
+def pick(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The named columns; an unknown one is an error that names what is missing."""
+    missing = [f for f in fields if f not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    return df.select(*fields)
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset to offset + limit in the given (total) order."""
     return df.orderBy(*order).offset(offset).limit(limit)

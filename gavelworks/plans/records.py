@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelworks.functions import text as T
+from gavelworks.operators import context as K
 from gavelworks.operators import extraction as X
 from gavelworks.operators import relational as R
 from gavelworks.operators import signals as S
@@ -201,6 +202,17 @@ QUERIES = {
         "initiative_id", X.initiative_confidence(*[F.col(c) for c in ("initiative_name", "action_type", "description", "outcome_timeframe", "measured_outcome")], F.col("confidence") * 10).alias("score")
     ),
     "initiatives_first_seen": lambda s, d: X.first_seen(rows(s, d, "initiatives", "meeting_id", "initiative_name", "confidence").where("initiative_name is not null"), ["meeting_id"], F.lower(F.trim("initiative_name")), [F.desc_nulls_last("confidence"), F.asc("initiative_id")]).select("initiative_id", "meeting_id"),
+    "positions_split": lambda s, d: rows(s, d, "personnel_actions", "position_title").select("action_id", X.split_position(F.col("position_title")).alias("p")).select("action_id", F.col("p.position").alias("position"), F.col("p.name").alias("name")),
+    "context_votes": lambda s, d: K.blocks(_star(s, d, "votes", "school_slug", "motion_text", "yes_count", "no_count", "passed", "unanimous", "needs_review").where("not needs_review"), "school_slug", K.vote_text(), "Board Votes", "vote_id"),
+    "context_money": lambda s, d: K.blocks(
+        _star(s, d, "financial_items", "school_slug", "action_type", "amount", "category", "vendor", "description", "needs_review").where("not needs_review and action_type <> 'discussed'"), "school_slug", K.money_text(), "Financial Actions", "item_id"
+    ),
+    "context_people": lambda s, d: K.blocks(
+        _star(s, d, "personnel_actions", "school_slug", "action_type", "person_name", "position_title", "department", "effective_date", "is_interim", "needs_review").where("not needs_review"), "school_slug", K.people_text(), "Personnel Actions", "action_id"
+    ),
+    "context_initiatives": lambda s, d: K.blocks(
+        _star(s, d, "initiatives", "school_slug", "action_type", "initiative_name", "category", "description", "measured_outcome", "needs_review").where("not needs_review"), "school_slug", K.initiative_text(), "Initiatives & Strategic Programs", "initiative_id"
+    ),
     "position_parts": lambda s, d: rows(s, d, "personnel_actions", "position_title", "person_name").select(
         "action_id", X.bare_position(F.col("position_title")).alias("position"), X.is_bare_title(F.col("position_title")).alias("is_bare"), X.is_truncated(F.col("position_title")).alias("is_cut"), X.is_governance(F.col("position_title")).alias("is_governance"), X.is_no_name(F.col("person_name")).alias("is_no_name")
     ),
@@ -258,6 +270,11 @@ def _n(x: str, word: str) -> str:
     return f"{x} || ' {word}' || case when {x} = 1 then '' else 's' end"
 
 
+def _block(source: str, key: str, where: str, heading: str, text: str) -> str:
+    return f"""select school_slug, '### {heading}' || chr(10) || chr(10) || string_agg(told, chr(10) order by nth) as block from (select school_slug, nth, '• ' || coalesce(strftime(published_date, '%Y-%m-%d'), '?') || ' [' || coalesce(left(nullif(title, ''), 60), 'Untitled') || ']' || chr(10) || {text} || chr(10) as told from
+ (select f.*, m.title, m.published_date, row_number() over (partition by f.school_slug order by m.published_date desc nulls first, f.{key}) as nth from (select distinct * from {source}) f join (select distinct meeting_id, title, published_date from meetings) m using (meeting_id) where {where.replace("needs_review", "f.needs_review").replace("action_type", "f.action_type")}) where nth <= 100) group by school_slug"""
+
+
 _CLAMP = "case when {1} in ({0}) then {1} else '{2}' end"
 _NULLS = "('', 'null', 'none', 'n/a', 'na', 'unknown', 'not mentioned', 'not specified', 'not stated', 'not provided', 'not available', 'not applicable', 'unspecified', 'unclear')"
 
@@ -334,6 +351,17 @@ SQL = {
  select item_id, case when act in ('approved', 'amended') then s when act in ('proposed', 'tabled') then least(s, 0.68::double) else least(s, 0.50::double) end as score from h""",
     "initiative_confidence": f"""select initiative_id, least(1.0::double, greatest(0.0::double, {_r(f"(case when {_there('initiative_name')} then 1.0::double else 0.0::double end + case when {_there('action_type')} then 1.0::double else 0.0::double end + case when {_there('description')} then 1.0::double else 0.0::double end) / 3 * 0.6::double + least(1.0::double, confidence * 10 / 8) * 0.4::double - case when {_there('outcome_timeframe')} and coalesce(lower(trim(outcome_timeframe)) = lower(trim(measured_outcome)), false) then 0.25::double else 0.0::double end")})) as score from (select distinct * from initiatives)""",
     "initiatives_first_seen": "select initiative_id, meeting_id from (select distinct * from initiatives) where initiative_name is not null qualify row_number() over (partition by meeting_id, lower(trim(initiative_name)) order by confidence desc nulls last, initiative_id) = 1",
+    "positions_split": r"""with own as (select action_id, position_title as p, regexp_extract(trim(position_title), '\s(\S+)$', 1) as last from (select distinct action_id, position_title from personnel_actions)),
+ j as (select *, regexp_matches(last, '^\p{Lu}') and length(last) > 2 and not ends_with(last, '.') and lower(last) not in (""" + ", ".join(f"'{q}'" for q in X.QUALIFIERS) + r""") as found from own)
+ select action_id, case when found then trim(regexp_replace(trim(p), '\s\S+$', '')) else p end as position, case when found then last end as name from j""",
+    "context_votes": _block("votes", "vote_id", "not needs_review", "Board Votes", """'  Motion : ' || coalesce(trim(motion_text), '') || case when yes_count is null and passed is null and not coalesce(unanimous, false) then '' else chr(10) || '  Result :' || case when yes_count is null then '' else '  (' || yes_count || ' yes / ' || coalesce(no_count::varchar, '?') || ' no)' end
+ || case when unanimous then '  [UNANIMOUS]' when passed then '  [PASSED]' when not passed then '  [FAILED]' else '' end end"""),
+    "context_money": _block("financial_items", "item_id", "not needs_review and action_type <> 'discussed'", "Financial Actions", """'  [' || upper(coalesce(nullif(action_type, ''), 'approved')) || ']' || case when amount <> 0 then '  ' || case when amount < 0 then '-' else '' end || '$' || format('{:,.2f}', abs(amount)::double) else '' end || '  ' || concat_ws(' / ', nullif(category, ''), nullif(vendor, ''))
+ || case when coalesce(trim(description), '') <> '' then chr(10) || '  ' || trim(description) else '' end"""),
+    "context_people": _block("personnel_actions", "action_id", "not needs_review", "Personnel Actions", """'  [' || upper(coalesce(nullif(action_type, ''), '')) || ']' || case when is_interim then '  [INTERIM]' else '' end || ' ' || coalesce(nullif(person_name, ''), 'Unknown') || ' — ' || concat_ws(', ', nullif(position_title, ''), nullif(department, ''))
+ || case when coalesce(trim(effective_date), '') <> '' then '  (effective ' || effective_date || ')' else '' end"""),
+    "context_initiatives": _block("initiatives", "initiative_id", "not needs_review", "Initiatives & Strategic Programs", """'  [' || upper(coalesce(nullif(action_type, ''), 'discussed')) || '] ' || coalesce(nullif(initiative_name, ''), 'Unnamed initiative') || '  (' || coalesce(category, '') || ')'
+ || case when coalesce(trim(description), '') <> '' then chr(10) || '  ' || trim(description) else '' end || case when coalesce(trim(measured_outcome), '') <> '' then chr(10) || '  Outcome  : ' || trim(measured_outcome) else '' end"""),
     "position_parts": r"""select action_id, regexp_replace(trim(regexp_replace(position_title, '\s*\([^)]*\)', '', 'g')), '[.,;: ]+$', '') as position, lower(trim(position_title)) in ('vice chancellor', 'vice president', 'dean', 'chancellor', 'president', 'director', 'associate vice', 'assistant vice', 'executive vice') as is_bare,
  lower(regexp_extract(position_title, '([A-Za-z]+)\s*$', 1)) in ('of', 'the', 'and', 'in', 'for', 'with', 'at', 'to', 'by', 'on', 'from', 'a', 'an') as is_cut, regexp_matches(lower(position_title), '\b(trustee|board\s+(member|chair(man|woman|person)?|president|officer|secretary|treasurer)|committee\s+chair(man|woman|person)?|higher\s+education|coordinating\s+board|advisory\s+board\s+member|state\s+(senator|representative|legislator|official)|regent)\b') as is_governance,
  lower(trim(person_name)) in ('counseling', 'union', 'committee', 'board', 'division', 'department', 'faculty', 'staff', 'administration', 'services', 'education', 'instruction', 'enrollment', 'affairs', 'operations', 'resources', 'technology', 'finance', 'marketing', 'communications', 'research', 'planning', 'development', 'workforce', 'continuing', 'center', 'program', 'office', 'institute', 'college', 'university', 'district', 'foundation', 'council', 'commission', 'association', 'organization', 'coalition', 'alliance', 'network', 'society', 'academy') as is_no_name

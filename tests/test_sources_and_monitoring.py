@@ -82,3 +82,43 @@ def test_audits(spark):
     assert {tuple(r) for r in M.evaluation(got).collect()} == {("k", 3, 2, 0.75, 1, 0), ("j", 1, 0, None, 0, 0)}
     calls = spark.createDataFrame([("m", 10, 5, 1.5, "stop", "ok"), ("m", None, 7, 0.5, "LENGTH", None), ("m", 1, None, None, None, "error")], "model string, tokens_in int, tokens_out int, seconds double, finish string, status string")
     assert tuple(M.usage(calls).first()) == ("m", 3, 11, 12, 2.0, 1, 1)
+
+
+def test_calls_of_a_model_keep_their_failures(spark):
+    from gavelworks.operators import models
+
+    def client():
+        seen = {}
+
+        def ask(prompt):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            if prompt == "never" or (prompt == "later" and seen[prompt] < 2):
+                raise TimeoutError(prompt)
+            return prompt.upper(), 1, 2, "stop"
+
+        return ask
+
+    df = spark.createDataFrame([(1, "now"), (2, "later"), (3, "never"), (4, None)], "id int, prompt string").coalesce(1)
+    got = {r.id: (r.answer, r.tries, r.status) for r in models.complete(df, "id", client, tries=3, first_wait=0.01).collect()}
+    assert got == {1: ("NOW", 1, "ok"), 2: ("LATER", 2, "ok"), 3: (None, 3, "TimeoutError"), 4: (None, 0, "no prompt")}
+
+    def refusing():
+        def ask(prompt):
+            raise models.Refused("key")
+
+        return ask
+
+    with pytest.raises(Exception, match="key"):
+        models.complete(df, "id", refusing).collect()
+
+
+def test_positions_and_columns(spark):
+    from gavelworks.operators import extraction as X
+    from gavelworks.operators import relational as R
+
+    df = spark.createDataFrame([("Vice Chancellor Alcorta",), ("Dean of Instruction",), ("Dean",), (None,), ("Director Jo",), ("Dean of",)], "p string")
+    got = df.select(X.split_position(F.col("p")).alias("x"), X.is_truncated(F.col("p")).alias("cut")).collect()
+    assert [(r.x.position, r.x.name) for r in got] == [("Vice Chancellor", "Alcorta"), ("Dean of Instruction", None), ("Dean", None), (None, None), ("Director Jo", None), ("Dean of", None)]
+    assert [r.cut for r in got] == [False, False, False, None, False, True]
+    with pytest.raises(ValueError, match="no such columns: q"):
+        R.pick(df, ["p", "q"])
