@@ -31,17 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop(*frames: DataFrame) -> None:
-    """Delete the files of frames that cut() gave and that nothing reads any more."""
+    """Delete the files of frames that cut() or keep() gave and that nothing reads any more."""
     for df in frames:
         plan = df._jdf.queryExecution().logical()
-        if plan.getClass().getSimpleName() != "LogicalRDD":
-            continue
-        file = plan.rdd().getCheckpointFile()
-        if file.isDefined():
-            context = df.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        if getattr(df, "kept_at", None):
+            _delete(df.sparkSession, df.kept_at)
+        elif plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+            _delete(df.sparkSession, plan.rdd().getCheckpointFile().get())
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -55,4 +57,6 @@ def keep(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
