@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gavelworks.storage import cut, drop
+from gavelworks.storage import cut, drop, keep
 
 SEED_ROUNDS, MIN_SENTENCES = 2, 2
 #: Rounds over all documents end when no more than this share of the labelled sentence forms changes; MOST_ROUNDS only guards against labels that swing for ever.
@@ -129,13 +129,15 @@ def prepare(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def spread(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The propagated graph: documents (doc_id, tid), occurrences (tid, fid, n), form terms (fid, term) and the terms' table (term, subject, lift, share, n)."""
     docs, occurrences, forms = prepare(documents)
-    every = forms.select("fid", "docs", F.explode(terms_of(F.col("sentence"))).alias("term"))
+    listed = keep(forms.select("fid", "docs", terms_of(F.col("sentence")).alias("terms")))  # read twice, and dear to make
+    every = listed.select("fid", "docs", F.explode("terms").alias("term"))
     notes = areas.where("subject is not null").select("subject", F.explode(sentences(F.concat_ws(" ", F.translate("subject", "_", " "), "scope_note"))).alias("s"))
     note_mentions = cut(notes.select(F.explode(terms_of(F.col("s"))).alias("term"), "subject", F.lit(NOTE_MENTIONS).alias("p")))
     # a term with fewer mentions, those of the notes included, can never be about anything
     counted = every.select("term", "docs").unionByName(note_mentions.select("term", F.col("p").cast("long").alias("docs")))
     often = counted.groupBy("term").agg(F.sum("docs").alias("m")).where(F.col("m") >= MENTIONS).select("term")
     form_terms = all_terms = cut(every.join(often, "term").select("fid", "term"))
+    drop(listed)
     known = areas.select("subject").where("subject is not null").distinct()
     clamp = labels.select("doc_id", "subject").distinct().join(F.broadcast(known), "subject").join(docs, "doc_id").select("tid", "subject").distinct()
     # 1. within labelled documents: each sentence may take each of its document's subjects
