@@ -151,6 +151,22 @@ def vote_confidence(motion: Column, result: Column, passed: Column, counts: Colu
     return F.when(_has(motion) | _has(result), score).otherwise(0.0)
 
 
+def people_confidence(action: Column, position: Column, name: Column, since: Column, text: Column, window_score: Column) -> Column:
+    """What fields are there for 0.6, the window's score (full at 8) for 0.4; more for a name that the text has and for a date, less for a name that it lacks and for a bare title."""
+    there = sum((F.when(_has(c), 1.0).otherwise(0.0) for c in (action, position)), F.lit(0.0))
+    known = null_like(name)
+    named = F.when(known.isNull(), 0.0).when(stands_in(known, text), 0.2).otherwise(-0.3)
+    bare = F.coalesce(is_bare_title(null_like(position)), F.lit(False))
+    score = there / 2 * 0.6 + F.least(F.lit(1.0), window_score / 8) * 0.4 + named + F.when(_has(since), 0.15).otherwise(0.0) - F.when(bare, 0.15).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), half_up(score, 3)))
+
+
+def without_name(name: Column, score: Column, most: float = 0.60) -> Column:
+    """(score, review, reason): a row that names nobody is kept, its score capped, and to be reviewed for that."""
+    nobody = null_like(name).isNull()
+    return F.struct(F.when(nobody, F.least(score, F.lit(most))).otherwise(score).alias("score"), nobody.alias("review"), F.when(nobody, "missing_person_name").alias("reason"))
+
+
 def first_seen(rows: DataFrame, by: list[str], key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key within by, in a total order."""
     nth = F.row_number().over(W.partitionBy(*by, key).orderBy(*order))

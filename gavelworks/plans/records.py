@@ -201,6 +201,16 @@ QUERIES = {
     "initiative_confidence": lambda s, d: rows(s, d, "initiatives", "initiative_name", "action_type", "description", "outcome_timeframe", "measured_outcome", "confidence").select(
         "initiative_id", X.initiative_confidence(*[F.col(c) for c in ("initiative_name", "action_type", "description", "outcome_timeframe", "measured_outcome")], F.col("confidence") * 10).alias("score")
     ),
+    "vote_confidence": lambda s, d: rows(s, d, "votes", "motion_text", "agenda_item", "passed", "yes_count", "no_count", "moved_by", "seconded_by", "confidence").select(
+        "vote_id",
+        X.vote_confidence(
+            F.col("motion_text"), F.col("agenda_item"), F.col("passed"), F.col("yes_count").isNotNull() | F.col("no_count").isNotNull(), [F.col("moved_by"), F.col("seconded_by")], F.concat_ws(" ", "motion_text", "moved_by"), F.col("confidence") * 12
+        ).alias("score"),
+    ),
+    "people_confidence": lambda s, d: rows(s, d, "personnel_actions", "action_type", "position_title", "person_name", "effective_date", "department", "confidence")
+    .withColumn("score", X.people_confidence(F.col("action_type"), F.col("position_title"), F.col("person_name"), F.col("effective_date"), F.concat_ws(" ", "department", "position_title"), F.col("confidence") * 8))
+    .withColumn("p", X.without_name(F.col("person_name"), F.col("score")))
+    .select("action_id", "p.score", "p.review", "p.reason"),
     "initiatives_first_seen": lambda s, d: X.first_seen(rows(s, d, "initiatives", "meeting_id", "initiative_name", "confidence").where("initiative_name is not null"), ["meeting_id"], F.lower(F.trim("initiative_name")), [F.desc_nulls_last("confidence"), F.asc("initiative_id")]).select("initiative_id", "meeting_id"),
     "positions_split": lambda s, d: rows(s, d, "personnel_actions", "position_title").select("action_id", X.split_position(F.col("position_title")).alias("p")).select("action_id", F.col("p.position").alias("position"), F.col("p.name").alias("name")),
     "context_votes": lambda s, d: K.blocks(_star(s, d, "votes", "school_slug", "motion_text", "yes_count", "no_count", "passed", "unanimous", "needs_review").where("not needs_review"), "school_slug", K.vote_text(), "Board Votes", "vote_id"),
@@ -350,6 +360,11 @@ SQL = {
  g as (select *, {_r("fields * 0.65::double + pat * 0.35::double")} as s1 from f), h as (select *, case when known then s1 else {_r("s1 * 0.85::double")} end as s from g)
  select item_id, case when act in ('approved', 'amended') then s when act in ('proposed', 'tabled') then least(s, 0.68::double) else least(s, 0.50::double) end as score from h""",
     "initiative_confidence": f"""select initiative_id, least(1.0::double, greatest(0.0::double, {_r(f"(case when {_there('initiative_name')} then 1.0::double else 0.0::double end + case when {_there('action_type')} then 1.0::double else 0.0::double end + case when {_there('description')} then 1.0::double else 0.0::double end) / 3 * 0.6::double + least(1.0::double, confidence * 10 / 8) * 0.4::double - case when {_there('outcome_timeframe')} and coalesce(lower(trim(outcome_timeframe)) = lower(trim(measured_outcome)), false) then 0.25::double else 0.0::double end")})) as score from (select distinct * from initiatives)""",
+    "vote_confidence": f"""with own as (select distinct * from votes), f as (select *, len(list_filter(regexp_split_to_array(case when {_there("motion_text")} then trim(motion_text) else '' end, '\\s+'), lambda w: w <> '')) as n, lower(concat_ws(' ', motion_text, moved_by)) as t from own)
+ select vote_id, case when {_there("motion_text")} or {_there("agenda_item")} then least(1.0::double, greatest(0.0::double, {_r(f"(case when {_there('motion_text')} then 1.0::double else 0.0::double end + case when {_there('agenda_item')} then 1.0::double else 0.0::double end + case when passed is not null then 1.0::double else 0.0::double end) / 3 * 0.6::double + least(1.0::double, confidence) * 0.4::double + case when n >= 8 then 0.1::double else 0.0::double end + case when yes_count is not null or no_count is not null then 0.1::double else 0.0::double end - case when {_there('motion_text')} and n < 4 then 0.15::double else 0.0::double end - case when {_there('moved_by')} and not contains(t, lower(trim(moved_by))) then 0.2::double else 0.0::double end - case when {_there('seconded_by')} and not contains(t, lower(trim(seconded_by))) then 0.2::double else 0.0::double end")})) else 0.0::double end as score from f""",
+    "people_confidence": f"""with own as (select distinct * from personnel_actions), f as (select *, lower(concat_ws(' ', department, position_title)) as t from own),
+ s as (select *, least(1.0::double, greatest(0.0::double, {_r(f"(case when {_there('action_type')} then 1.0::double else 0.0::double end + case when {_there('position_title')} then 1.0::double else 0.0::double end) / 2 * 0.6::double + least(1.0::double, confidence) * 0.4::double + case when not {_there('person_name')} then 0.0::double when contains(t, lower(trim(person_name))) then 0.2::double else -0.3::double end + case when {_there('effective_date')} then 0.15::double else 0.0::double end - case when coalesce(lower(trim(position_title)) in ('vice chancellor', 'vice president', 'dean', 'chancellor', 'president', 'director', 'associate vice', 'assistant vice', 'executive vice'), false) then 0.15::double else 0.0::double end")})) as raw from f)
+ select action_id, case when {_there("person_name")} then raw else least(raw, 0.6::double) end as score, not {_there("person_name")} as review, case when not {_there("person_name")} then 'missing_person_name' end as reason from s""",
     "initiatives_first_seen": "select initiative_id, meeting_id from (select distinct * from initiatives) where initiative_name is not null qualify row_number() over (partition by meeting_id, lower(trim(initiative_name)) order by confidence desc nulls last, initiative_id) = 1",
     "positions_split": r"""with own as (select action_id, position_title as p, regexp_extract(trim(position_title), '\s(\S+)$', 1) as last from (select distinct action_id, position_title from personnel_actions)),
  j as (select *, regexp_matches(last, '^\p{Lu}') and length(last) > 2 and not ends_with(last, '.') and lower(last) not in (""" + ", ".join(f"'{q}'" for q in X.QUALIFIERS) + r""") as found from own)
