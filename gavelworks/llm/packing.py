@@ -25,6 +25,8 @@ from gavelworks.storage import cut
 
 #: How far each length is covered by the program, how fast weights fall, the share of a length that one step covers at most, and the most units that the knapsack divides a capacity into.
 COVERED, RATE, STEP, UNITS = 0.95, 9.0, 0.25, 512
+#: By how much more a unit of the longest items is worth than one of the shortest, which fit anywhere later.
+LONGER = 0.2
 #: Items of one length are numbered in independent parts of about so many items, and in PARTS at least, so that a length that a third of all items have isn't one task.
 PART_ITEMS, PARTS = 500_000, 64
 
@@ -99,7 +101,7 @@ def program(lengths: np.ndarray, demand: np.ndarray, sizes: np.ndarray, room: in
     base = math.log(len(lengths) + 2)
     while covered.min() < COVERED:
         weights = np.exp(-RATE * base * np.minimum(covered, 4.0) / 4) * (covered < 1.0 + STEP)
-        counts = fit(best_pattern(sizes, weights * lengths, room))
+        counts = fit(best_pattern(sizes, weights * lengths * (1 + LONGER * lengths / lengths.max()), room))
         if not counts.any():
             break
         some = counts > 0
