@@ -58,6 +58,15 @@ def _ranked(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) ->
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
 
 
+def _part(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    """A row for each of n parts."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest vectors by cosine of each of queries (query_id, embedding), ties by id. Null and zero vectors are near to none.
 
@@ -67,9 +76,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
     v = vectors.select("vec_id", unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
     n_q, n_v = max(1, -(-queries.count() // BLOCK_QUERIES)), max(1, -(-vectors.count() // BLOCK_VECTORS))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return _ranked(v.withColumn("vb", part("vec_id", n_v)).withColumn("qb", every(n_q)), q.withColumn("qb", part("query_id", n_q)).withColumn("vb", every(n_v)), ["qb", "vb"], k)
+    return _ranked(v.withColumn("vb", _part("vec_id", n_v)).withColumn("qb", _every(n_q)), q.withColumn("qb", _part("query_id", n_q)).withColumn("vb", _every(n_v)), ["qb", "vb"], k)
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -78,14 +85,46 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return own.select("doc", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
 
 
+def _best_by_terms(k: int):
+    """The k best documents of a block of postings (term, doc, w) for each of its questions (query_id, term): summed weights to four places, ties by document."""
+
+    def run(posts: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(posts) and len(questions):
+            docs, at = np.unique(posts["doc"].to_numpy(), return_inverse=True)
+            weights, of = posts["w"].to_numpy(), posts.groupby("term").indices
+            for query, terms in questions.groupby("query_id")["term"]:
+                met = [of[t] for t in terms if t in of]
+                if not met:
+                    continue
+                rows = np.concatenate(met)
+                hit = np.flatnonzero(np.bincount(at[rows], minlength=len(docs)))
+                s = np.floor(np.bincount(at[rows], weights[rows], len(docs))[hit] * 1e4 + 0.5) / 1e4
+                some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                best = some[np.lexsort((hit[some], -s[some]))][:k]
+                out.append(pd.DataFrame({"query_id": query, "doc": docs[hit[best]], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc": [], "score": []})
+
+    return run
+
+
 def bm25_top(posts: DataFrame, n_docs: int, mean_length: float, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, with_idf: bool = True) -> DataFrame:
-    """(query_id, doc, score, rank): the k best documents of each question (query_id, term, distinct) by BM25, ties by id. with_idf: rare terms weigh more."""
+    """(query_id, doc, score, rank): the k best documents of each question (query_id, term, distinct) by BM25, ties by id. with_idf: rare terms weigh more.
+
+    Postings of the questions' terms meet the questions in blocks of documents, so that a term that most documents and questions have is no hot key, and
+    a document's terms are added up where they are.
+    """
     wanted = posts.join(questions.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) if with_idf else F.lit(1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = wanted.join(df, "term").select("term", "doc", weight.alias("w")).join(questions, "term").groupBy("query_id", "doc").agg(half_up(F.sum("w"), 4).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+    weighted = wanted.join(df, "term").select("term", "doc", weight.alias("w"))
+    n_q, n_d = max(1, -(-questions.select("query_id").distinct().count() // BLOCK_QUERIES)), max(1, -(-n_docs // BLOCK_VECTORS))
+    left = weighted.withColumn("db", _part("doc", n_d)).withColumn("qb", _every(n_q)).groupBy("qb", "db")
+    right = questions.select("query_id", "term").withColumn("qb", _part("query_id", n_q)).withColumn("db", _every(n_d)).groupBy("qb", "db")
+    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", questions), ("doc", posts))]
+    best = left.cogroup(right).applyInPandas(_best_by_terms(k), ", ".join([*kinds, "score double"]))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
 
 
 def fuse(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
