@@ -79,10 +79,10 @@ def _halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidate_windows(scored: DataFrame, targets: dict[str, tuple]) -> DataFrame:
-    """(target, doc, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, text, rank) of scored (doc, pos, text, tokens, start_time, end_time, source, and a score column for each target).
+    """(target, doc, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, text, best_text, rank) of scored (doc, pos, text, tokens, start_time, end_time, source, and a score column for each target).
 
     Hits (a score of at least the target's) with its context on both sides, merged where they overlap or touch; runs of more than MOST_TOKENS
-    are halved, and halves without a hit dropped. source is the most frequent one, the smallest in a tie. rank is by total within doc and target. One row for each doc and pos.
+    are halved, and halves without a hit dropped. source is the most frequent one, the smallest in a tie; best_text is that of the row with the peak, the first in a tie. rank is by total within doc and target. One row for each doc and pos.
     """
     from functools import reduce
 
@@ -105,12 +105,12 @@ def candidate_windows(scored: DataFrame, targets: dict[str, tuple]) -> DataFrame
     spans = rows.groupBy("target", "doc", "key", "lo", "least").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_rows"), F.sum("tokens").alias("n_tokens"), F.max("score").alias("peak"), half_up(F.sum("score"), 3).alias("total"),
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_join(F.transform(said, lambda x: F.concat(F.lit("[["), x["pos"].cast("string"), F.lit("]]\n"), x["text"])), "\n\n").alias("text"),
-        F.collect_list("source").alias("sources"),
+        F.collect_list("source").alias("sources"), F.max_by("text", F.struct("score", -F.col("pos"))).alias("best_text"),
     )
     often = F.array_max(F.transform(F.array_sort(F.array_distinct("sources")), lambda x, i: F.struct(F.size(F.filter("sources", lambda y: y == x)), -i, x.alias("x"))))["x"]
     kept = spans.where("peak >= least").withColumn("source", often)
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("target", "doc").orderBy(F.desc("total"), "first")))
-    return ranked.select("target", "doc", "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", "text", "rank")
+    return ranked.select("target", "doc", "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", "text", "best_text", "rank")
 
 
 def dominant(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:

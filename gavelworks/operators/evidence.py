@@ -66,6 +66,11 @@ def preview(text: Column, start: Column, end: Column, width: int = PREVIEW) -> C
     return F.when(n >= width, alone).otherwise(around)
 
 
+def shown(excerpt: Column, best_text: Column) -> Column:
+    """What is shown for an item: the excerpt around its first verified quotation, else the start of the best chunk of its window."""
+    return F.coalesce(excerpt, F.substring(best_text, 1, PREVIEW), F.lit(""))
+
+
 def _located(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         spans = [find_quote(q, t) for q, t in zip(f["quote"], f["text"], strict=True)]

@@ -110,3 +110,27 @@ def routed(questions: DataFrame, id_col: str, text_col: str, aliases: dict[str,
 def numbered_sources(chunks: DataFrame, with_tables: Column) -> DataFrame:
     """chunks (query_id, rank, ...) with the number of their citation: the block of table rows is 1 where there is one, chunks follow by rank."""
     return chunks.withColumn("citation", F.col("rank") + with_tables.cast("int"))
+
+
+def assembled(routed_questions: DataFrame, blocks: DataFrame, passages: DataFrame, id_col: str) -> DataFrame:
+    """(id, route, context, n_sources): what a model is given to answer each question of routed().
+
+    blocks (table, school, block) are the records' texts, passages (id, rank, text) what retrieval found. A question without a route is taken as hybrid, one
+    of route none gets no context. Records are those of the question's tables and of the schools that it names (of all schools if it names none), tables in their order and
+    schools in the order of mention; together they are source 1. Passages follow by rank. rag and none take no records; sql takes no passages.
+    """
+    own = routed_questions.select(F.col(id_col).alias("_id"), F.coalesce("route", F.lit("hybrid")).alias("route"), "tables", "schools")
+    asked = own.where(~F.col("route").isin("none", "rag")).select("_id", F.posexplode(F.split(F.when(F.col("tables") != "", F.col("tables")).otherwise(",".join(t for t in TABLE_HINTS if t != "initiatives")), ",")).alias("t", "table"), "schools")
+    named = asked.where("schools <> ''").select("_id", "t", "table", F.posexplode(F.split("schools", ",")).alias("s", "school"))
+    held = blocks.where("block is not null").select("table", "school", "block")
+    # blocks of all schools are put together once, and not for each question
+    every = held.groupBy("table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("school", "block"))), lambda x: x["block"]), "\n").alias("block"))
+    found = named.join(held, ["table", "school"]).select("_id", "t", "s", "block").unionByName(asked.where("schools = ''").join(every, "table").select("_id", "t", F.lit(0).alias("s"), "block"))
+    rows = found.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "s", "block"))), lambda x: x["block"]), "\n").alias("rows"))
+    wanted = passages.select(F.col(id_col).alias("_id"), "rank", "text").join(own.where(~F.col("route").isin("none", "sql")).select("_id"), "_id", "left_semi")
+    texts = wanted.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+    both = own.join(rows, "_id", "left").join(texts, "_id", "left")
+    sources = F.concat(F.when(F.col("rows").isNotNull(), F.array("rows")).otherwise(F.array().cast("array<string>")), F.coalesce("texts", F.array().cast("array<string>")))
+    numbered = F.transform(sources, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x))
+    context = F.when(F.col("route") != "none", F.array_join(numbered, "\n\n"))
+    return both.select(F.col("_id").alias(id_col), "route", context.alias("context"), F.size(sources).alias("n_sources"))

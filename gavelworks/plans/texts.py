@@ -39,7 +39,7 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
     scores = [S.pattern_score(F.col("c.text"), patterns).alias(name) for name, (patterns, _, _) in S.TARGETS.items()]
     scored = one.select(F.col("meeting_id").alias("doc"), F.col("chunk_index").alias("pos"), "c.text", T.token_estimate(T.word_count(F.col("c.text"))).alias("tokens"), "c.start_time", "c.end_time", F.coalesce("source_type", F.lit("vtt")).alias("source"), *scores)
     found = C.candidate_windows(scored, S.TARGETS)
-    return found.select("target", F.col("doc").alias("meeting_id"), "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", F.length("text").alias("n_chars"), "rank")
+    return found.select("target", F.col("doc").alias("meeting_id"), "first", "last", "n_rows", "n_tokens", "peak", "total", "start_time", "end_time", "source", F.length("text").alias("n_chars"), F.length(E.shown(F.lit(None).cast("string"), F.col("best_text"))).alias("n_shown"), "rank")
 
 
 def _motions(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,6 +99,18 @@ def _routed(spark: SparkSession, folder: str) -> DataFrame:
     return Q.routed(asked, "vote_id", "q", _aliases(spark, folder))
 
 
+def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a model would be given to say what was said about the motions of the stated query set."""
+    from gavelworks.plans import records
+
+    asked = _motions(spark, folder).join(rows(spark, folder, "votes", "school_slug").withColumnRenamed("vote_id", "query_id"), "query_id")
+    told = asked.select("query_id", F.concat_ws(" ", F.lit("what was said about the motion"), "question", F.lit("at"), F.translate("school_slug", "_", " ")).alias("q"))
+    blocks = [records.QUERIES[q](spark, folder).select(F.lit(t).alias("table"), F.col("school_slug").alias("school"), "block") for q, t in (("context_votes", "votes"), ("context_money", "financial_items"), ("context_people", "personnel_actions"), ("context_initiatives", "initiatives"))]
+    held = blocks[0].unionByName(blocks[1]).unionByName(blocks[2]).unionByName(blocks[3])
+    found = _retrieved(spark, folder).join(_passages(spark, folder), "doc").select("query_id", "rank", "text")
+    return Q.assembled(Q.routed(told, "query_id", "q", _aliases(spark, folder)), held, found, "query_id")
+
+
 def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     own = rows(spark, folder, "extraction_evidence", "vote_id", "financial_item_id", "personnel_action_id", "initiative_id", "chunk_id", "exact_quote", "supports")
     item = F.coalesce(*[F.concat(F.lit(t), F.col(c).cast("string")) for t, c in (("v", "vote_id"), ("f", "financial_item_id"), ("p", "personnel_action_id"), ("i", "initiative_id"))])
@@ -168,6 +180,7 @@ QUERIES = {
     "bm25_plain": lambda s, d: _bm25(s, d, 20, False),
     "rrf_fuse": _fused,
     "retrieved": _retrieved,
+    "contexts": _contexts,
     "rerank_changes": lambda s, d: V.agreement(_fused(s, d), _retrieved(s, d)),
     "filtered_passages": lambda s, d: V.payload_filter(
         rows(s, d, "chunks", "meeting_id").join(rows(s, d, "meetings", "school_slug", "published_date", "source_type").na.fill("vtt", ["source_type"]), "meeting_id"), school="harlow_creek", first="2023-02-01", last="2023-09-30"
@@ -241,8 +254,8 @@ _WINDOWS = f"""with recursive s as (select meeting_id as doc, chunk_index as pos
   where hi - lo > 2 and (select sum(tokens) from r where r.target = h.target and r.doc = h.doc and r.island = h.island and place >= lo and place < hi) > 700),
  leaf as (select h.target, h.doc, h.island, h.lo, least, pos, text, tokens, score, start_time, end_time, source from h join r on r.target = h.target and r.doc = h.doc and r.island = h.island and place >= lo and place < hi where h.hi - h.lo <= 2 or (select sum(tokens) from r where r.target = h.target and r.doc = h.doc and r.island = h.island and place >= h.lo and place < h.hi) <= 700),
  w as (select target, doc, island, lo, min(pos) as first, max(pos) as last, count(*) as n_rows, sum(tokens)::bigint as n_tokens, max(score) as peak, floor(sum(score) * 1000.0::double + 0.5) / 1000.0::double as total, min(start_time) as start_time, max(end_time) as end_time, mode(source) as source,
-  (sum(length('[[' || pos || ']]' || chr(10) || text)) + 2 * (count(*) - 1))::int as n_chars from leaf group by target, doc, island, lo having max(score) >= min(least))
- select target, doc as meeting_id, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, n_chars, row_number() over (partition by target, doc order by total desc, first) as rank from w"""
+  (sum(length('[[' || pos || ']]' || chr(10) || text)) + 2 * (count(*) - 1))::int as n_chars, least(500, length(arg_max(text, (score, -pos))))::int as n_shown from leaf group by target, doc, island, lo having max(score) >= min(least))
+ select target, doc as meeting_id, first, last, n_rows, n_tokens, peak, total, start_time, end_time, source, n_chars, n_shown, row_number() over (partition by target, doc order by total desc, first) as rank from w"""
 _TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '\s+([,?!:;])', '\1', 'g'), '\.{{4,}}', '...', 'g'), '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'))"
 _FOLDED = "replace(replace(translate({0}, '‘’“”–—' || chr(160), '''''\"\"-- '), chr(8203), ''), '…', '...')"
 _CLEANED = _TIDY.format("trim(regexp_replace(regexp_replace(regexp_replace(" + _FOLDED.format("text") + r", '<[^>]+>', ' ', 'g'), '\[[A-Z0-9 _/-]{2,}\]|\([A-Z0-9 _/-]{2,}\)', ' ', 'g'), '(?i)\b(?:um|uh|er|erm)\b[,\s]*', ' ', 'g'))")

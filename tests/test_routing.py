@@ -47,3 +47,20 @@ def test_citations_count_the_block_of_rows_first(spark):
     df = spark.createDataFrame([(1, 1), (1, 2)], "query_id int, rank int")
     assert [r.citation for r in Q.numbered_sources(df, F.lit(True)).orderBy("rank").collect()] == [2, 3]
     assert [r.citation for r in Q.numbered_sources(df, F.lit(False)).orderBy("rank").collect()] == [1, 2]
+
+
+def test_contexts_are_put_together(spark):
+    routed = [(1, "sql", "votes,financial_items", "b,a"), (2, "rag", "", "a"), (3, None, "votes", ""), (4, "none", "", ""), (5, "hybrid", "votes", "zz"), (6, "compare", "", "a,b")]
+    blocks = [("votes", "a", "VA"), ("votes", "b", "VB"), ("financial_items", "a", "FA"), ("personnel_actions", "b", None)]
+    passages = [(q, r, f"p{q}{r}") for q in range(1, 6) for r in (2, 1)]
+    got = Q.assembled(
+        spark.createDataFrame(routed, "id int, route string, tables string, schools string"), spark.createDataFrame(blocks, "table string, school string, block string"), spark.createDataFrame(passages, "id int, rank int, text string"), "id"
+    )
+    assert {r.id: (r.route, r.context, r.n_sources) for r in got.collect()} == {
+        1: ("sql", "[1] VB\nVA\nFA", 1),
+        2: ("rag", "[1] p21\n\n[2] p22", 2),
+        3: ("hybrid", "[1] VA\nVB\n\n[2] p31\n\n[3] p32", 3),
+        4: ("none", None, 0),
+        5: ("hybrid", "[1] p51\n\n[2] p52", 2),
+        6: ("compare", "[1] VA\nVB\nFA", 1),
+    }
