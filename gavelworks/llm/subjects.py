@@ -51,12 +51,18 @@ STOP = (
 
 def sentences(text: Column) -> Column:
     """The sentences of a text in normal form: lower case, without accents, markup, speaker and time marks, numbering and hesitation; digits and months are "#"."""
-    t = F.regexp_replace(text, r"(?i)<br\s*/?>|</?p>|</?div>", "\n")
-    t = F.regexp_replace(t, r"<[^<>]{0,200}>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"&nbsp;", " "), r"&amp;|&", " and ")
-    t = F.regexp_replace(t, r"([A-Za-z])-[ \t]*\r?\n[ \t]*([a-z])", "$1$2")
+
+    def where_any(c: Column, marks: str, then) -> Column:
+        """then(c) of texts that have one of the marks; the others, which it would leave as they are, aren't searched by patterns."""
+        some = (*marks.split(), marks.split()[0])
+        # bound by transform(), so that c is made once and not for each of its uses
+        return F.transform(F.array(c), lambda x: F.when(F.greatest(*[F.contains(x, F.lit(m)) for m in some]), then(x)).otherwise(x))[0]
+
+    t = where_any(text, "<", lambda c: F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>|</?p>|</?div>", "\n"), r"<[^<>]{0,200}>", " "))
+    t = where_any(t, "&", lambda c: F.replace(F.replace(F.replace(c, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and ")))
+    t = where_any(t, "-", lambda c: F.regexp_replace(c, r"([A-Za-z])-[ \t]*\r?\n[ \t]*([a-z])", "$1$2"))
     t = F.regexp_replace(t, r"(?m)^\s*(?:\d{1,3}[.)]|Sec\.?\s*[\d.]+|SEC\.?\s*[\d.]+|[*•#-]+)\s+", "")
-    t = F.regexp_replace(t, r"\[[\d:.]+\]|>>+|\b(?:SPEAKER_\d+|CHAIR|Chair|Speaker \d+):", " ")
+    t = where_any(t, "[ >> :", lambda c: F.regexp_replace(c, r"\[[\d:.]+\]|>>+|\b(?:SPEAKER_\d+|CHAIR|Chair|Speaker \d+):", " "))
     t = F.regexp_replace(t, r"(?i)\b(?:um+|uh+|erm?|hmm+)\b[,.]*", " ")
     t = F.translate(F.lower(t), "áàâäéèêëíìîïóòôöúùûüñç’", "aaaaeeeeiiiioooouuuunc'")
     t = F.regexp_replace(t, rf"\b(?:{MONTHS.replace(' ', '|')})\b|\d[\d,.:]*", "#")
@@ -68,7 +74,7 @@ def sentences(text: Column) -> Column:
 def words_of(sentence: Column) -> Column:
     stop = sorted(set(STOP.split()))
     kept = F.filter(F.split(sentence, " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
-    return F.transform(kept, lambda w: F.regexp_replace(w, r"(?<=[a-z]{3}[a-rt-z])s$", ""))  # plurals
+    return F.transform(kept, lambda w: F.when(w.endswith("s"), F.regexp_replace(w, r"(?<=[a-z]{3}[a-rt-z])s$", "")).otherwise(w))  # plurals
 
 
 def terms_of(sentence: Column) -> Column:
